@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.grouped_splits import assign_splits, entity_groups, norm_ticker
+from colloquy.llm.leakage import leaked_passages
 from colloquy.llm.nearest_time import nearest_time
+from colloquy.llm.pieces import split_oversized
 from colloquy.llm.survivorship import survivors
+from colloquy.llm.tokenizer import encode_texts
 from colloquy.runtime import norm_key, read_table
 
 QUERIES: dict = {}
@@ -177,3 +180,45 @@ b as (
 select min(record_id) record_id, arg_max(kt, (epoch_us(t), -record_id)) filter (where t is not null and kt is not null) rights_tier,
   strftime(max(t), '%Y-%m-%dT%H:%M:%SZ') last_checked_at
 from f group by k having count(*) >= 2"""
+
+
+# 8. Token ids
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+# 9. Leaked evaluation passages
+
+
+@query
+def p9_runs(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(
+        read_table(spark, d, "documents"),
+        read_table(spark, d, "eval_passages"),
+        doc_id="doc_id",
+        doc_text="text",
+        item_id="item_id",
+        item_text="text",
+    )
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_runs(spark, d).select("doc_id", "item_id")
+
+
+# 10. Pieces of oversized texts
+
+
+@query
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_oversized(read_table(spark, d, "documents"), "doc_id", "text", with_text=False)
+    return pieces.where("piece_no = 2").select("doc_id").distinct()
