@@ -37,3 +37,14 @@ def norm_key(c):
     """
     t = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     return F.when(t != "", t)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join where few keys may hold most rows of ``big``; ``small`` has one row per key.
+
+    ``small`` is copied ``salts`` times and the rows of ``big`` are dealt out over the
+    copies, so that no task gets all rows of a hot key. Both keep their other columns.
+    """
+    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    copies = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
