@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.consensus import consensus, latest_votes
 from colloquy.llm.grouped_splits import assign_splits, entity_groups, norm_ticker
 from colloquy.llm.leakage import leaked_passages
 from colloquy.llm.nearest_time import nearest_time
@@ -222,3 +223,33 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_oversized(read_table(spark, d, "documents"), "doc_id", "text", with_text=False)
     return pieces.where("piece_no = 2").select("doc_id").distinct()
+
+
+# 2. Consensus of reviewers
+
+
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    votes = latest_votes(
+        read_table(spark, d, "gold_labels"),
+        item="chunk_id",
+        annotator="reviewer",
+        labels="labels",
+        time="review_timestamp",
+        row_id="gold_label_id",
+    )
+    return consensus(votes)
+
+
+@query
+def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[0].withColumnRenamed("item", "chunk_id")
+
+
+@query
+def p2_reviewers(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[1].withColumnRenamed("annotator", "reviewer")
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[0].select(F.col("item").alias("chunk_id"), "label")
