@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.broken_pairs import broken_pairs
 from colloquy.llm.consensus import consensus, latest_votes
 from colloquy.llm.grouped_splits import assign_splits, entity_groups, norm_ticker
 from colloquy.llm.leakage import leaked_passages
@@ -253,3 +254,16 @@ def p2_reviewers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[0].select(F.col("item").alias("chunk_id"), "label")
+
+
+# 1. Broken prompt and response pairs
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs(
+        read_table(spark, d, "joined_qa_audio_review"),
+        pair_id="row_id",
+        prompt="analyst_question_excerpt",
+        response="management_answer_excerpt",
+    )
