@@ -11,6 +11,7 @@ from colloquy.llm.grouped_splits import assign_splits, entity_groups, norm_ticke
 from colloquy.llm.leakage import leaked_passages
 from colloquy.llm.nearest_time import nearest_time
 from colloquy.llm.pieces import split_oversized
+from colloquy.llm.speaker_turns import label_speakers, speaker_turns
 from colloquy.llm.survivorship import survivors
 from colloquy.llm.tokenizer import encode_texts
 from colloquy.runtime import norm_key, read_table
@@ -267,3 +268,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
         prompt="analyst_question_excerpt",
         response="management_answer_excerpt",
     )
+
+
+# 6. Speaker turns
+
+
+@query
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    return speaker_turns(read_table(spark, d, "transcript_segments"), read_table(spark, d, "participants"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_turns(spark, d).select("case_id", "turn_no", "speaker_id", "message_index")
+
+
+@query
+def p6_chunk_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """The participant of each speaker label of transcript_chunks."""
+    return label_speakers(
+        read_table(spark, d, "transcript_chunks"), read_table(spark, d, "participants"), case="case_id", label="speaker", row_id="chunk_id"
+    )
