@@ -2,8 +2,8 @@
 
 Groups are the connected components of the bipartite graph of records and entities,
 found by propagating the least record label from entity to record and back. Each round
-also follows the label map to its end in doubled steps, so that long chains take a
-logarithmic number of rounds. Only records that bind two or more entities take part in
+also follows the label map to its end in doubled steps, so that each round leaves at most
+half of the labels of a component and long chains take a logarithmic number of rounds. Only records that bind two or more entities take part in
 the rounds; all others read the label of their entity once at the end.
 
 Groups then go to splits. Groups of more than 1/2000 of the rows are at most 2,000 and
@@ -69,10 +69,13 @@ def entity_groups(edges: DataFrame) -> DataFrame:
         least = links.groupBy("record").agg(F.min("label").alias("low"))
         m = links.join(least, "record").groupBy(F.col("label").alias("src")).agg(F.min("low").alias("dst"))
         m = checkpoint(m)
-        for _ in range(2):  # follow the map in doubled steps
+        while True:  # follow the map to its end: each pass doubles the step
             n = m.select(F.col("src").alias("s2"), F.col("dst").alias("d2"))
-            m = m.join(n, m["dst"] == n["s2"], "left").select("src", F.coalesce("d2", "dst").alias("dst"))
-        m = checkpoint(m)
+            far = m.join(n, m["dst"] == n["s2"], "left").select("src", F.coalesce("d2", "dst").alias("dst"), (F.col("d2") < F.col("dst")).alias("moved"))
+            far = checkpoint(far)
+            m = far.select("src", "dst")
+            if not far.where("moved").head(1):
+                break
         total = m if total is None else _compose(total, m)
         links = _relabel(links, m, "label").distinct()
         open_ = links.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record")
