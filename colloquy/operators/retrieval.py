@@ -26,10 +26,11 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc: str, query: str, ts: Colum
     down to the tokens of the queries. Documents of equal score rank by id; documents without
     a token of the query are no hits; empty documents count for the average length.
     """
-    n = docs.select(doc, F.size(ts).alias("len"))
-    stats = n.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    # tokens are made before the generator: what stands beside explode() is evaluated once for each of its rows
+    read = docs.select(doc, ts.alias("ts")).select(doc, "ts", F.size("ts").alias("len"))
+    stats = read.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     asked = queries.groupBy(query, "token").agg(F.count(F.lit(1)).alias("qtf"))
-    p = docs.select(doc, F.size(ts).alias("len"), F.explode(ts).alias("token"))
+    p = read.select(doc, "len", F.explode("ts").alias("token"))
     p = p.join(asked.select("token").distinct(), "token", "left_semi").groupBy(doc, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

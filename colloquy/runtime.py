@@ -48,3 +48,14 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int =
     salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     copies = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores.
+
+    A few small files give fewer tasks than cores; what is costly for each row then runs on
+    one. Scans that already have as many partitions (all large ones) stay as they are and
+    are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
