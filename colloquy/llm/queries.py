@@ -14,7 +14,7 @@ from colloquy.llm.pieces import split_oversized
 from colloquy.llm.speaker_turns import label_speakers, speaker_turns
 from colloquy.llm.survivorship import survivors
 from colloquy.llm.tokenizer import encode_texts
-from colloquy.runtime import norm_key, read_table
+from colloquy.runtime import norm_key, read_table, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -190,7 +190,7 @@ from f group by k having count(*) >= 2"""
 
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(read_table(spark, d, "documents"), "doc_id", "text")
+    return encode_texts(spread(read_table(spark, d, "documents")), "doc_id", "text")
 
 
 # 9. Leaked evaluation passages
@@ -199,7 +199,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_runs(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(
-        read_table(spark, d, "documents"),
+        spread(read_table(spark, d, "documents")),
         read_table(spark, d, "eval_passages"),
         doc_id="doc_id",
         doc_text="text",
@@ -218,12 +218,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(read_table(spark, d, "documents"), "doc_id", "text")
+    return split_oversized(spread(read_table(spark, d, "documents")), "doc_id", "text")
 
 
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_oversized(read_table(spark, d, "documents"), "doc_id", "text", with_text=False)
+    pieces = split_oversized(spread(read_table(spark, d, "documents")), "doc_id", "text", with_text=False)
     return pieces.where("piece_no = 2").select("doc_id").distinct()
 
 
@@ -263,7 +263,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(
-        read_table(spark, d, "joined_qa_audio_review"),
+        spread(read_table(spark, d, "joined_qa_audio_review")),
         pair_id="row_id",
         prompt="analyst_question_excerpt",
         response="management_answer_excerpt",
