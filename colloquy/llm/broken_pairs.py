@@ -98,6 +98,7 @@ _OUTER = regex.compile(r"^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$")
 _CLOSERS = regex.compile(r"(?:\[[^\]]*\]|\([^()]*\)|[\s\"”’»“„«*_)\]])+$")
 _TERMINAL = regex.compile(r"[.!?。！？:;]$")
 _ELLIPSIS = regex.compile(r"(?:…|\.\s?\.\s?\.)$")
+_NUMBER = regex.compile(r"\p{N}(?:[\p{N}.,]*\p{N})?")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[$€£]?\p{N}[\p{N}.,]*\p{N}|[$€£]?\p{N}|%|[^\s\p{L}\p{N}]")
 
 
@@ -108,8 +109,11 @@ class Rules:
         lists = {k: set(v.split()) for k, v in stop_words.items()}
         shared = Counter(w for v in lists.values() for w in v)
         #: A word of several languages counts in part for each.
-        self.languages = {k: {w: 1 / shared[w] for w in v} for k, v in lists.items()}
+        self.languages = list(lists)
+        self.votes = {w: [(k, 1 / n) for k, v in lists.items() if w in v] for w, n in shared.items()}
         self.refusal = [regex.compile(p, regex.I) for p in refusals]
+        #: Whether any sentence may decline: one search over the whole response.
+        self.declines = regex.compile("|".join(f"(?:{p})" for p in refusals), regex.I)
         self.filler = [regex.compile(p, regex.I) for p in FILLERS]
         self.contrast = regex.compile(CONTRAST, regex.I)
         self.placeholder = set(placeholders)
@@ -124,7 +128,11 @@ class Rules:
     def language(self, text: str) -> tuple[str | None, float]:
         """The language with clearly most function words, and their weight."""
         ws = _WORDS.findall(text.lower())
-        n = Counter({k: sum(v.get(w, 0.0) for w in ws) for k, v in self.languages.items()}).most_common(2)
+        total = dict.fromkeys(self.languages, 0.0)
+        for votes in filter(None, map(self.votes.get, ws)):
+            for k, x in votes:
+                total[k] += x
+        n = sorted(((k, x) for k, x in total.items()), key=lambda e: -e[1]) + [(None, 0.0)]
         if n[0][1] < 2 or n[0][1] < 1.5 * n[1][1] or n[0][1] < 0.12 * len(ws):
             return None, n[0][1]
         return n[0]
@@ -136,9 +144,11 @@ class Rules:
         if len(qw) < 4 or len(aw) < 4:
             return False
         qb, ab = " ".join(qw).encode(), " ".join(aw).encode()
-        plain = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(ab))
+        # tables sized for excerpts: a default compressor spends its time on clearing them
+        small = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(ab), dict_size=len(qb), write_content_size=False, write_dict_id=False)
+        plain = len(zstandard.ZstdCompressor(compression_params=small).compress(ab))
         known = zstandard.ZstdCompressionDict(qb, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        left = len(zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_dict_id=False).compress(ab))
+        left = len(zstandard.ZstdCompressor(dict_data=known, compression_params=small).compress(ab))
         if left > 0.75 * plain:
             return False
         blocks = [b for b in SequenceMatcher(None, qw, aw, autojunk=False).get_matching_blocks() if b.size]
@@ -151,9 +161,12 @@ class Rules:
 
     def refuses(self, a: str) -> bool:
         """Declines and says nothing else."""
-        sentences = [s.strip(" \t\n\"“”*_>") for s in _SENTENCE.split(_BRACKETS.sub(" ", a).replace("’", "'").strip())]
+        a = " ".join(_BRACKETS.sub(" ", a).replace("’", "'").split())
+        if not self.declines.search(a):
+            return False
+        sentences = [s.strip(" \"“”*_>") for s in _SENTENCE.split(a)]
         declined = False
-        for s in (" ".join(s.split()) for s in sentences):
+        for s in sentences:
             if not s or any(p.search(s) for p in self.filler):
                 continue
             if self.contrast.search(s) or not any(p.search(s) for p in self.refusal):
@@ -173,8 +186,8 @@ def tail_of(a: str) -> str:
 
 def contexts(text: str) -> list[tuple[str, str]]:
     """(last two tokens, last token) before each position of a text, numbers masked."""
-    ts = [regex.sub(r"\p{N}[\p{N}.,]*", "9", t.lower()) for t in _TOKEN.findall(text)]
-    return [(f"{ts[i - 1] if i else ''} {t}", t) for i, t in enumerate(ts)]
+    ts = _TOKEN.findall(_NUMBER.sub("9", text.lower()))
+    return [(f"{a} {b}", b) for a, b in zip(["", *ts], ts)]
 
 
 def _count_contexts(text: str, into: Counter) -> None:
