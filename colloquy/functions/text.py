@@ -69,7 +69,7 @@ def share(hits: Column, total: Column) -> Column:
 
 
 def length_bucket(c: Column) -> Column:
-    n = F.size(F.filter(F.split(normalize_space(c), " "), lambda x: x != ""))
+    n = F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[^ \t\n\r\f]+"))
     return F.when(n < 12, "short").when(n < 25, "medium").otherwise("long")
 
 

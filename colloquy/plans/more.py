@@ -120,18 +120,18 @@ def chronological_fit(spark, d):
     )
 
 
-_LONG = "select doc_id, lower(coalesce(text, '')) t, len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) n from documents where regexp_matches(coalesce(text, ''), '^[\\x00-\\x7f]*$')".replace("\\\\", "\\")
+_LONG = r"select doc_id, lower(coalesce(text, '')) t, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+')) n from documents"
 
 
 @query(rf"""with k as ({_LONG}) select doc_id, case when n = 0 then 'empty' when {D._ANY('t', L.BOILERPLATE)} then 'boilerplate' when n < 7 then 'short' when regexp_matches(t, '\b(?:was|were|declined|finished)\b') and not regexp_matches(t, '\b(?:expect|outlook|target|will)') then 'historical' else 'keep' end reason from k""")
 def doc_suppression(spark, d):
-    """The first rule that suppresses a text, over texts of ASCII characters."""
+    """The first rule that suppresses a text."""
     c = F.coalesce("text", F.lit(""))
     t = F.lower(c)
-    n = F.regexp_count(c, F.lit(r"[^\s]+"))
+    n = F.regexp_count(c, F.lit(r"[^ \t\n\r\f]+"))
     past = t.rlike(r"\b(?:was|were|declined|finished)\b") & ~t.rlike(r"\b(?:expect|outlook|target|will)")
     r = F.when(n == 0, "empty").when(T.phrase_count(c, L.BOILERPLATE) > 0, "boilerplate").when(n < 7, "short").when(past, "historical").otherwise("keep")
-    return D.docs(spark, d).where(c.rlike(r"^[\x00-\x7f]*$")).select("doc_id", r.alias("reason"))
+    return D.docs(spark, d).select("doc_id", r.alias("reason"))
 
 
 @query("""with p as (select lower(trim(case_id)) case_id, person_role, count(*) n from participants group by all), s as (select lower(trim(case_id)) case_id, count(distinct message_index) n_messages from transcript_segments group by 1)
