@@ -14,7 +14,7 @@ from colloquy.llm.pieces import split_oversized
 from colloquy.llm.speaker_turns import label_speakers, speaker_turns
 from colloquy.llm.survivorship import survivors
 from colloquy.llm.tokenizer import encode_texts
-from colloquy.runtime import norm_key, read_table, spread
+from colloquy.runtime import norm_key, read_table, salted_join, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -105,7 +105,7 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
         gold.select(norm_key(F.col("case_id")).alias("record"), F.lit(None).cast("string").alias("entity"))
     )
     groups = entity_groups(edges)
-    rows = rows.join(groups, rows["case_id"] == groups["record"], "left").drop("record")
+    rows = salted_join(rows, groups.withColumnRenamed("record", "case_id"), ["case_id"], how="left")
     rows = rows.withColumn("group", F.coalesce("group", F.concat_ws(":", "from_table", F.col("row_id").cast("string"))))
     out = assign_splits(rows, ["train", "validation", "test"], [0.8, 0.1, 0.1])
     return out.select("from_table", "row_id", "case_id", F.col("group").alias("group_case_id"), "split")
