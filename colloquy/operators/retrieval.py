@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +53,70 @@ def hash_embedding(posts: DataFrame, doc: str, dimensions: int) -> DataFrame:
     return v.where("v <> 0").withColumn("norm", norm).select(doc, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
+#: Query vectors that are sent to the tasks at once.
+QUERY_BLOCK = 2048
+
+
 def nearest_vectors(vectors: DataFrame, *, row: str, vector: str, k: int, every: int = 100) -> DataFrame:
     """Exact cosine neighbours of every ``every``-th row among all rows: (row, neighbour, similarity, rank).
 
-    The query rows are a stated set; each block of them is compared with all rows in one
-    scan and reduced to ``k`` per scan partition's query before ranking.
+    The queries go through the rows in blocks of about ``QUERY_BLOCK``, one scan for each
+    block: what is sent to the tasks has this bound whatever the data. Each batch is one
+    matrix product and leaves a task as at most ``k`` rows for each query. Equal similarities
+    (to six places) rank by id. Null and zero vectors take no part; rows of other lengths
+    than the queries' are no neighbours.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.where(F.col(vector).isNotNull()).select(row, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm")).where("norm > 0")
-    q = v.where(F.col(row) % every == 0).select(F.col(row).alias("q"), F.col(vector).alias("qv"), F.col("norm").alias("qn"))
-    sim = v.join(q, v[row] != q["q"]).select("q", F.col(row).alias("neighbour"), F.round(dot(F.col(vector), F.col("qv")) / (F.col("norm") * F.col("qn")), 6).alias("similarity"))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(row).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    q = v.where(F.col("id") % every == 0)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    parts = [_nearest_block(v, q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k) for b in range(blocks)]
+    sim = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("q").orderBy(F.desc("similarity"), "neighbour")
-    return sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(row), "neighbour", "similarity", "rank")
+    top = sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("q").alias(row), "neighbour", "similarity", "rank")
+
+
+def _nearest_block(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    asked = [(r["id"], r["v"]) for r in queries.collect() if any(r["v"])]
+    size = max((len(x) for _, x in asked), default=0)
+    asked = [(i, x) for i, x in asked if len(x) == size]
+    qid = np.array([i for i, _ in asked], np.int64)
+    qv = np.array([x for _, x in asked], np.float64).reshape(len(asked), size)
+    qv /= np.maximum(np.linalg.norm(qv, axis=1, keepdims=True), 1e-300)
+    sent = v.sparkSession.sparkContext.broadcast((qid, qv))
+
+    def best(ids: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        """Positions of the k highest, equal ones by id."""
+        if len(sim) > k:
+            near = np.flatnonzero(sim >= np.partition(sim, -k)[-k])
+        else:
+            near = np.arange(len(sim))
+        near = near[np.isfinite(sim[near])]
+        return near[np.lexsort((ids[near], -sim[near]))][:k]
+
+    def run(batches):
+        qid, qv = sent.value
+        for b in batches:
+            lists = b.column(1)
+            ok = np.flatnonzero(lists.value_lengths().to_numpy() == qv.shape[1])
+            if not len(ok) or not len(qid):
+                continue
+            take = pa.array(ok)
+            ids = b.column(0).take(take).to_numpy()
+            m = lists.take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(ok), -1)
+            norm = np.linalg.norm(m, axis=1)
+            ids, m = ids[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
+            out = []
+            for o in range(0, len(qid), 256):  # bounds the product's size
+                sims = np.round(m @ qv[o : o + 256].T, 6)
+                sims[ids[:, None] == qid[o : o + 256][None, :]] = -np.inf
+                for c in range(sims.shape[1]):
+                    at = best(ids, sims[:, c])
+                    out.append((np.full(len(at), qid[o + c]), ids[at], sims[at, c]))
+            cols = [np.concatenate(x) for x in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["q", "neighbour", "similarity"])
+
+    return v.mapInArrow(run, "q long, neighbour long, similarity double")
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, *, query: str, doc: str, at: list[int]) -> DataFrame:
