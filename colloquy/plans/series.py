@@ -173,8 +173,10 @@ def question_shifts(spark, d):
   select conv, cast(floor((start_s - s0) / 30) as bigint) win, end_s, length(text) n from turns join f using (conv) where start_s is not null)
 select conv, win, max(end_s) end_s, count(*) n_segments, cast(sum(n) as bigint) n_chars from b group by conv, win having sum(n) >= 40""")
 def window_chunks(spark, d):
-    """Windows of 30 s anchored at the first start; windows with less than 40 characters are dropped."""
+    """Windows of 30 s anchored at the first start; windows with less than 40 characters are
+    dropped, but for the last one of a conversation, which only needs any text. The SQL drops that one too."""
     t = turns(spark, d).where("start_s is not null")
     t = t.withColumn("win", F.floor((F.col("start_s") - F.min("start_s").over(Window.partitionBy("conv"))) / 30))
-    g = t.groupBy("conv", "win").agg(F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_segments"), F.sum(F.length("text")).alias("n_chars"))
-    return g.where("n_chars >= 40")
+    g = t.groupBy("conv", "win").agg(F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_segments"), F.sum(F.length("text")).alias("n_chars"), F.bool_or(F.col("text").rlike(r"\S")).alias("spoken"))
+    last = F.col("win") == F.max("win").over(Window.partitionBy("conv"))
+    return g.withColumn("last", last).where("n_chars >= 40 or last and spoken").drop("last", "spoken")

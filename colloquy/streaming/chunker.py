@@ -28,9 +28,9 @@ def chunk_segments(segments: DataFrame, *, window: float = 30.0, min_chars: int
     """Fixed windows of timed segments per key of a stream, anchored at the first start.
 
     segments: (key, start, end, text). A chunk is emitted when a segment crosses the end of
-    its window; one with less than ``min_chars`` characters is dropped. The open chunk is
-    emitted when its key has been silent for ``idle_ms`` of processing time; with null it stays
-    open (a run over what is available now would otherwise wait for it). State per key is one
+    its window; one with less than ``min_chars`` characters is dropped. The open chunk is the last
+    one and is emitted, however short, when its key has been silent for ``idle_ms`` of processing
+    time; with null it stays open (a run over what is available now would otherwise wait for it). State per key is one
     open window. Rows of a micro-batch are taken in order of start.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,12 +39,12 @@ def chunk_segments(segments: DataFrame, *, window: float = 30.0, min_chars: int
         origin, index, end, n, text = state.get if state.exists else (None, 0, 0.0, 0, "")
         out = []
 
-        def flush():
-            if n and len(text) >= min_chars:
+        def flush(last=False):
+            if n and text and (last or len(text) >= min_chars):
                 out.append((key[0], origin + index * window, end, n, text))
 
         if state.hasTimedOut:
-            flush()
+            flush(last=True)
             state.remove()
         else:
             rows = pd.concat(list(batches)).dropna(subset=["start"]).sort_values(["start", "end"])
