@@ -23,12 +23,13 @@ def number_jaccard(a: Column, b: Column) -> Column:
 
 
 def revision(prior: Column, current: Column, prior_mid: Column, current_mid: Column, epsilon: float = EPSILON) -> Column:
-    """mixed where aligned numbers move both ways, else raised, lowered or reaffirmed by the midpoint; unclear without one."""
+    """unclear without both midpoints, mixed where aligned numbers move both ways, else raised, lowered or reaffirmed by the midpoint.
+    A move of ``epsilon`` counts."""
     moves = F.transform(F.arrays_zip(prior.alias("a"), current.alias("b")), lambda x: x["b"] - x["a"])
-    up, down = F.exists(moves, lambda m: m > epsilon), F.exists(moves, lambda m: m < -epsilon)
+    up, down = F.exists(moves, lambda m: m >= epsilon), F.exists(moves, lambda m: m <= -epsilon)
     diff = current_mid - prior_mid
     return (
-        F.when(up & down, "mixed").when(diff.isNull(), "unclear").when(diff > epsilon, "raised").when(diff < -epsilon, "lowered").otherwise("reaffirmed")
+        F.when(diff.isNull(), "unclear").when(up & down, "mixed").when(diff >= epsilon, "raised").when(diff <= -epsilon, "lowered").otherwise("reaffirmed")
     )
 
 

@@ -47,10 +47,14 @@ p as (select *, lag(n) over w pn, lag(mid) over w pm from m window w as (partiti
 z as (select rid, mid - pm df, list_filter(list_transform(range(1, greatest(len(n), len(pn)) + 1), lambda i: n[i] - pn[i]), lambda v: v is not null) mv from p where pn is not null)
 select rid, case when len(list_filter(mv, lambda v: v > 0.05)) > 0 and len(list_filter(mv, lambda v: v < -0.05)) > 0 then 'mixed' when df is null then 'unclear' when df > 0.05 then 'raised' when df < -0.05 then 'lowered' else 'reaffirmed' end revision from z""")
 def guidance_revision(spark, d):
-    """Each statement against the one before it of the same entity."""
-    w = Window.partitionBy("entity").orderBy("period_no", "rid")
-    s = _statements(spark, d).select("*", F.lag("numbers").over(w).alias("pn"), F.lag("mid").over(w).alias("pm")).where("pn is not null")
-    return s.select("rid", G.revision(F.col("pn"), F.col("numbers"), F.col("pm"), F.col("mid")).alias("revision"))
+    """Each statement against the one of the period before that it is matched with; unclear without one.
+
+    The SQL takes the statement before it in order of period and id instead."""
+    s = _statements(spark, d)
+    m = G.match_prior(s.select("entity", "period_no", "rid", "topic", "period", G.signature(F.col("numbers")).alias("sig")), key="entity").select("rid", "prior_rid")
+    m = m.join(s.select("rid", "numbers", "mid"), "rid")
+    m = m.join(s.select(F.col("rid").alias("prior_rid"), F.col("numbers").alias("pn"), F.col("mid").alias("pm")), "prior_rid", "left")
+    return m.select("rid", G.revision(F.col("pn"), F.col("numbers"), F.col("pm"), F.col("mid")).alias("revision"))
 
 
 def _rules():

@@ -2,7 +2,7 @@
 
 import time
 
-from colloquy.plans import series
+from colloquy.plans import extra, series
 from colloquy.streaming import chunker
 
 SEGMENT = "case_id string, message_index int, segment_id string, role string, text string, start_s double, end_s double"
@@ -15,6 +15,12 @@ def segments(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def labels(spark, tmp_path, rows):
+    """A data directory with labels of (id, call, evidence)."""
+    spark.createDataFrame(rows, "label_row_id long, call_id string, evidence_text string").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
 def test_last_window_is_kept(spark, tmp_path):
     long = "x" * 50
     d = segments(spark, tmp_path, [
@@ -38,3 +44,14 @@ def test_last_chunk_of_a_silent_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.start, r.text) for r in spark.table("idle_chunks").collect()) == [(0.0, "x" * 50), (60.0, "That concludes.")]
+
+
+def test_revision_of_the_matched_statement(spark, tmp_path):
+    margin, sales = "FY gross margin outlook {} percent.", "FY revenue guidance {} million."
+    d = labels(spark, tmp_path, [
+        (1, "acme_2024Q1_x", margin.format("45 to 47")), (2, "acme_2024Q1_x", sales.format("10 to 12")),
+        (3, "acme_2024Q2_x", sales.format("10 to 14")), (4, "acme_2024Q2_x", margin.format("43 to 47")), (5, "acme_2024Q2_x", "Q3 tax rate near 21 percent."),
+        (6, "acme_2024Q4_x", sales.format("10 to 14")),
+    ])
+    got = {r["rid"]: r["revision"] for r in extra.guidance_revision(spark, d).collect()}
+    assert got == {1: "unclear", 2: "unclear", 3: "raised", 4: "lowered", 5: "unclear", 6: "unclear"}
