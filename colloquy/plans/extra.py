@@ -36,7 +36,7 @@ def _statements(spark, d):
 @query()
 def guidance_match(spark, d):
     s = _statements(spark, d)
-    return G.match_prior(s.select("entity", "period_no", "rid", "topic", "period", G.signature(F.col("numbers")).alias("sig")), key="entity", threshold=0.55)
+    return G.match_prior(s.select("entity", "period_no", "rid", "topic", "period", G.signature(F.col("numbers")).alias("sig")), key="entity")
 
 
 @query(rf"""with l as (select distinct * from labels), t as (select label_row_id rid, regexp_extract(lower(trim(call_id)), '^([^_]+)_([0-9]{{4}})q([1-4])_', ['e', 'y', 'q']) x, {_NUM.format('evidence_text')} n,

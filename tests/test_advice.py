@@ -55,3 +55,11 @@ def test_revision_of_the_matched_statement(spark, tmp_path):
     ])
     got = {r["rid"]: r["revision"] for r in extra.guidance_revision(spark, d).collect()}
     assert got == {1: "unclear", 2: "unclear", 3: "raised", 4: "lowered", 5: "unclear", 6: "unclear"}
+
+
+def test_match_needs_a_shared_number(spark, tmp_path):
+    d = labels(spark, tmp_path, [
+        (1, "acme_2024Q1_x", "FY gross margin outlook 45 to 47 percent."), (2, "acme_2024Q2_x", "FY gross margin outlook 30 to 31 percent."), (3, "acme_2024Q2_x", "FY gross margin outlook 45 to 47 percent."),
+    ])
+    got = {r["rid"]: (r["prior_rid"], r["matched"]) for r in extra.guidance_match(spark, d).collect()}
+    assert got == {1: (None, False), 2: (None, False), 3: (1, True)}
