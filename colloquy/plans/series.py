@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import lexicons as L
+from colloquy.functions import text as T
 from colloquy.operators import conversations as C
 from colloquy.operators import series as S
 from colloquy.plans.common import TURNS, turns
@@ -162,10 +164,17 @@ def audio_hesitation(spark, d):
 
 @query()
 def question_shifts(spark, d):
-    """Mean tone of what overlaps the 60 s before and 120 s after each analyst question."""
-    t = turns(spark, d).where("start_s < end_s")
-    chunks = t.select("conv", F.col("turn").alias("cid"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), C.signed_sentiment(F.col("text")).alias("score"))
-    anchors = t.where("role = 'analyst'").select("conv", F.col("turn").alias("aid"), F.col("start_s").alias("t"))
+    """Mean tone of what overlaps the 60 s before and 120 s after each question, of whatever role.
+
+    A question has more than 15 characters and a question mark or phrase; those less than 30 s
+    after the last kept one are left out, and of several at one time the first turn is kept."""
+    t = turns(spark, d)
+    timed = t.where("start_s < end_s")
+    chunks = timed.select("conv", F.col("turn").alias("cid"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), C.signed_sentiment(F.col("text")).alias("score"))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    asks = (F.length(text) > 15) & (text.contains("?") | (T.phrase_count(text, L.SHIFT_QUESTION_PHRASES) > 0))
+    asked = t.where(asks & F.col("start_s").isNotNull()).groupBy("conv", F.col("start_s").alias("t")).agg(F.min("turn").alias("aid"))
+    anchors = asked.join(S.thin(asked, key="conv", time="t", gap=30.0), ["conv", "t"]).select("conv", "aid", "t")
     return S.window_means(anchors, chunks, key="conv", before=60.0, after=120.0)
 
 

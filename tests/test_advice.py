@@ -63,3 +63,14 @@ def test_match_needs_a_shared_number(spark, tmp_path):
     ])
     got = {r["rid"]: (r["prior_rid"], r["matched"]) for r in extra.guidance_match(spark, d).collect()}
     assert got == {1: (None, False), 2: (None, False), 3: (1, True)}
+
+
+def test_questions_of_any_role_are_thinned(spark, tmp_path):
+    d = segments(spark, tmp_path, [
+        ("a", "analyst", "Prepared remarks continue.", 15.0, 25.0), ("a", None, "Revenue improved and grew.", 70.0, 99.0),
+        ("a", "unknown", "Could you discuss demand trends for next quarter?", 100.0, 108.0), ("a", "analyst", "What about regional growth?", 112.0, 118.0),
+        ("a", "speaker", "It declined on shortages.", 120.0, 150.0), ("a", " ", "Can you explain margin pressure in more detail", 180.0, None),
+        ("a", "analyst", "Why?", 300.0, 301.0), ("a", "analyst", "Thank you for that.", 330.0, 331.0),
+    ])
+    got = {r["aid"]: r for r in series.question_shifts(spark, d).collect()}
+    assert sorted(got) == ["2", "5"] and got["2"]["shift"] < 0 < got["2"]["before"]
