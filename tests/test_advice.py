@@ -2,7 +2,7 @@
 
 import time
 
-from colloquy.plans import extra, series
+from colloquy.plans import extra, labels as queues, series
 from colloquy.streaming import chunker
 
 SEGMENT = "case_id string, message_index int, segment_id string, role string, text string, start_s double, end_s double"
@@ -74,3 +74,10 @@ def test_questions_of_any_role_are_thinned(spark, tmp_path):
     ])
     got = {r["aid"]: r for r in series.question_shifts(spark, d).collect()}
     assert sorted(got) == ["2", "5"] and got["2"]["shift"] < 0 < got["2"]["before"]
+
+
+def test_review_queue_takes_disagreement_and_rare_labels(spark, tmp_path):
+    votes = [(1, "x", "neutral"), (2, "X ", "commitment"), (3, "y", "neutral"), (4, "y", "neutral"), (5, "z", "odd"), (6, None, None), (7, None, None), (8, None, None), (9, "v", "commitment"), (10, "v", "commitment")]
+    spark.createDataFrame([(*v, 0.9) for v in votes], "weak_label_id long, chunk_id string, label string, confidence double").write.parquet(str(tmp_path / "weak_labels.parquet"))
+    got = [tuple(r) for r in queues.active_learning(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(1, 3, 1), (2, 3, 2), (5, 2, 3)]
