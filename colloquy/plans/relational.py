@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -137,14 +139,29 @@ def welch_t(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    """95 % interval of the mean order price by 400 seeded Poisson resamples, each row weighted in place:
-    no resample is materialised and only sums leave a task."""
-    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("b"))
-    u = (F.pmod(F.xxhash64("o_orderkey", "b"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015]
-    wgt = sum((F.when(u > c, 1).otherwise(0) for c in cuts[1:]), F.when(u > cuts[0], 1).otherwise(0))
-    m = o.select("b", wgt.alias("w"), "o_totalprice").groupBy("b").agg((F.sum(F.expr("w * o_totalprice")) / F.sum("w")).alias("m"))
-    return m.agg(F.round(F.percentile("m", F.lit(0.025)), 2).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 2).alias("high"))
+    """Mean difference of the weekday between high and low prices, as in welch_t, over 2,000 seeded resamples, and its 95 % interval.
+
+    A resample with replacement is drawn as counts of the distinct values, which is the same
+    distribution; Python gets one row for each group and value. Without two rows a group no row."""
+    o = read_table(spark, d, "orders").select("o_totalprice", (F.dayofweek("o_orderdate") - 1).cast("double").alias("y"))
+    q = o.agg(F.percentile("o_totalprice", F.lit(0.3)).alias("lo"), F.percentile("o_totalprice", F.lit(0.7)).alias("hi"))
+    side = F.array(F.when(F.expr("o_totalprice >= hi"), "high"), F.when(F.expr("o_totalprice <= lo"), "low"))
+    x = o.join(F.broadcast(q)).where("y is not null").select("y", F.explode(F.array_compact(side)).alias("side"))
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng, means = np.random.default_rng(42), {}
+        for g in ("high", "low"):
+            t = pdf[pdf.side == g].sort_values("y")
+            n = int(t["n"].sum())
+            if n < 2:
+                return pd.DataFrame({"mean_diff": [], "low": [], "high": []})
+            share, y = (t["n"] / n).to_numpy(), t["y"].to_numpy()
+            means[g] = np.array([rng.multinomial(n, share) @ y for _ in range(2000)]) / n
+        diff = means["high"] - means["low"]
+        return pd.DataFrame({"mean_diff": [diff.mean()], "low": [np.quantile(diff, 0.025)], "high": [np.quantile(diff, 0.975)]})
+
+    c = x.groupBy("side", "y").agg(F.count(F.lit(1)).alias("n")).groupBy().applyInPandas(resample, "mean_diff double, low double, high double")
+    return c.select(*(F.round(n, 6).alias(n) for n in ("mean_diff", "low", "high")))
 
 
 @query("""with j as (select distinct * from joined_qa_audio_review), m as (select unnest(transcript_hedge_markers) marker, row_id from j) select lower(trim(marker)) marker, count(*) n, count(distinct row_id) n_rows from m where trim(marker) <> '' group by 1""")

@@ -1,8 +1,11 @@
 """Whole results where queries once did less."""
 
+import datetime
 import time
 
-from colloquy.plans import extra, labels as queues, series
+import numpy as np
+
+from colloquy.plans import extra, labels as queues, relational, series
 from colloquy.streaming import chunker
 
 SEGMENT = "case_id string, message_index int, segment_id string, role string, text string, start_s double, end_s double"
@@ -81,3 +84,15 @@ def test_review_queue_takes_disagreement_and_rare_labels(spark, tmp_path):
     spark.createDataFrame([(*v, 0.9) for v in votes], "weak_label_id long, chunk_id string, label string, confidence double").write.parquet(str(tmp_path / "weak_labels.parquet"))
     got = [tuple(r) for r in queues.active_learning(spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(1, 3, 1), (2, 3, 2), (5, 2, 3)]
+
+
+def test_bootstrap_of_the_difference(spark, tmp_path):
+    rnd = np.random.default_rng(1)
+    price, day = rnd.random(300).round(6), rnd.integers(0, 90, 300)
+    rows = [(i, float(p), datetime.date(2024, 1, 7) + datetime.timedelta(int(x))) for i, (p, x) in enumerate(zip(price, day))]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    got = relational.bootstrap_ci(spark, str(tmp_path)).head()
+    y, (lo, hi) = day % 7, np.quantile(price, [0.3, 0.7])
+    a, b = y[price >= hi], y[price <= lo]
+    diff = [rnd.choice(a, len(a)).mean() - rnd.choice(b, len(b)).mean() for _ in range(20_000)]
+    assert np.allclose([got["mean_diff"], got["low"], got["high"]], [np.mean(diff), *np.quantile(diff, [0.025, 0.975])], atol=0.08)
