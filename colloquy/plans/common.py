@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
 from colloquy.functions.text import normalize_role
-from colloquy.runtime import norm_key, read_table, spread
+from colloquy.runtime import norm_key, read_spread
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """(conv, turn, role, text, start_s, end_s) of transcript_segments, each message once."""
-    s = spread(read_table(spark, d, "transcript_segments")).select(
+    s = read_spread(spark, d, "transcript_segments").select(
         norm_key(F.col("case_id")).alias("conv"), F.col("message_index").alias("turn"), "segment_id", "role", "text", "start_s", "end_s"
     )
     s = s.groupBy("conv", "turn").agg(F.min(F.struct("segment_id", "role", "text", "start_s", "end_s")).alias("s"))

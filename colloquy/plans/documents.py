@@ -9,14 +9,14 @@ from colloquy.functions import lexicons as L
 from colloquy.functions import text as T
 from colloquy.operators import retrieval as R
 from colloquy.plans.registry import Registry, sql_list
-from colloquy.runtime import read_table, spread
+from colloquy.runtime import read_spread, read_table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
 def docs(spark, d):
-    return spread(read_table(spark, d, "documents"))
+    return read_spread(spark, d, "documents")
 
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9'']+')"
