@@ -1,18 +1,24 @@
 """Consensus from several annotators' labels.
 
-The agreement of two annotators, centred on what their label habits give by chance, is
-about the product of their reliabilities. The reliabilities are the leading eigenvector
-of that matrix; each entry counts by the number of items the two have in common, and the
-missing diagonal is left out, which also fixes the scale. It is found by power iteration,
-each step one join of the sparse matrix with the vector.
-
-The reliabilities weight the votes. From that start a few rounds then estimate which
-label each annotator gives for which true label, with the weighted consensus as truth and
-smoothed towards one reliability for all labels, and vote again with these; annotators
-who take one label for another are thus read correctly.
+The agreement of two annotators, centred on what their label habits give by chance, is about
+the product of their reliabilities, so the reliabilities are the leading eigenvector of that
+matrix. Its entries are corrected for overlap counts: an entry is shrunk by how few items the
+two share, and rows are scaled to the number of partners an annotator would have if all shared
+enough. The diagonal, which no data give, is the square of the reliability found so far. The
+eigenvector is found by power iteration, each step one join of the sparse matrix with the
+vector, until it moves no more.
+
+The reliabilities weight the votes: an annotator of reliability r gives the true label with
+chance r and else one at random by its frequency, and each item gets the likeliest of the
+labels voted for it.
+
+``habit_consensus`` is an operator of its own for annotators who take one label for another,
+which one number each can't express: from the spectral weights on, it estimates which label
+each gives for which true one, and votes again with that.
 
 An item's votes are at most one per annotator. Pairs of annotators are counted as matrix
-products in each batch of items and leave a task already summed.
+products in each batch of items, in tiles of annotators, and leave a task already summed.
+Labels are rows throughout, so that any number of them will do.
 """
 
 from __future__ import annotations
@@ -21,17 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.runtime import checkpoint, norm_key, salted_join
 
-#: More distinct labels than this are an error: labels are columns of the vote tables.
-MAX_LABELS = 64
-#: Power steps between checkpoints, and how often.
-STEPS, ROUNDS = 4, 3
+#: Power steps between checkpoints; rounds of them at most; movement of an entry that ends the iteration.
+STEPS, ROUNDS, STILL = 3, 8, 2e-3
+#: Shared items at which an entry of the matrix counts half.
+OVERLAP = 8.0
+#: Items and annotators whose counts are one matrix product; bounds a task's memory.
+ITEM_TILE, ANNOTATOR_TILE = 4096, 1024
+#: Reliabilities are taken to lie in these bounds when they weight votes; that of an annotator who shares no item with another.
+BOUNDS, UNKNOWN = (0.0, 0.97), 0.5
 #: Votes' worth of trust in the one reliability when label habits are estimated, and rounds of that.
 SMOOTHING, REFINEMENTS = 12.0, 2
+#: Share of a label's votes from which on another label counts as one it is commonly given for.
+COMMON = 0.01
 
 
 def norm_label(c: Column) -> Column:
@@ -58,65 +70,98 @@ def latest_votes(df: DataFrame, *, item: str, annotator: str, labels: str, time:
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items with their lists of votes -> (a, b, same, both) summed over each batch."""
+    """Items with their lists of votes -> (a, b, same, both), a < b, summed over each tile."""
     for whole in batches:
-        for o in range(0, whole.num_rows, 4096):
-            lists = whole.column(0).slice(o, 4096)
-            flat = lists.flatten()
-            lens = lists.value_lengths().to_numpy()
+        for o in range(0, whole.num_rows, ITEM_TILE):
+            lists = whole.column(0).slice(o, ITEM_TILE)
+            flat, lens = lists.flatten(), lists.value_lengths().to_numpy()
             item = np.repeat(np.arange(len(lens)), lens)
             names, who = np.unique(flat.field("annotator").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
             _, what = np.unique(flat.field("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            same = np.zeros((len(names), len(names)))
-            seen = np.zeros((len(lens), len(names)))
-            seen[item, who] = 1
-            both = seen.T @ seen
-            for k in range(what.max() + 1 if len(what) else 0):
-                one = np.zeros_like(seen)
-                one[item[what == k], who[what == k]] = 1
-                same += one.T @ one
-            a, b = np.nonzero(both)
-            keep = a != b
-            a, b = a[keep], b[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(same[a, b]), pa.array(both[a, b])],
-                names=["a", "b", "same", "both"],
-            )
-
-
-def reliabilities(votes: DataFrame, items: DataFrame) -> DataFrame:
-    """(annotator, reliability, n_votes); reliability is 1 for no errors, 0 for chance,
-    and null for an annotator who shares no item with another."""
+            tiles = range(0, len(names), ANNOTATOR_TILE)
+
+            def votes(tile: int, k: int | None = None) -> np.ndarray:
+                mine = (who >= tile) & (who < tile + ANNOTATOR_TILE) & (True if k is None else what == k)
+                m = np.zeros((len(lens), min(ANNOTATOR_TILE, len(names) - tile)), np.float32)
+                m[item[mine], who[mine] - tile] = 1
+                return m
+
+            for x in tiles:
+                for y in (t for t in tiles if t >= x):
+                    both = votes(x).T @ votes(y)
+                    same = sum((votes(x, k).T @ votes(y, k) for k in range(what.max() + 1)), np.zeros_like(both)) if len(what) else both
+                    a, b = np.nonzero(both)
+                    keep = a + x < b + y
+                    a, b = a[keep], b[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[a + x], pa.string()), pa.array(names[b + y], pa.string()), pa.array(same[a, b], pa.float64()), pa.array(both[a, b], pa.float64())],
+                        names=["a", "b", "same", "both"],
+                    )
+
+
+def agreement_matrix(votes: DataFrame) -> DataFrame:
+    """(a, b, m): the chance-centred agreement of every two annotators who share items, both ways
+    round, corrected for overlap counts."""
+    items = votes.groupBy("item").agg(F.collect_list(F.struct("annotator", "label")).alias("votes")).where(F.size("votes") > 1)
     pairs = items.select("votes").mapInArrow(_count_pairs, "a string, b string, same double, both double")
     pairs = pairs.groupBy("a", "b").agg(F.sum("same").alias("same"), F.sum("both").alias("both"))
     counts = votes.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("annotator").agg(F.sum("n").alias("n_votes"))
-    habits = counts.groupBy("annotator").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("h"))
-    habits = habits.join(totals, "annotator")
-    ha = habits.select(F.col("annotator").alias("a"), F.col("h").alias("ha"), F.col("n_votes").alias("na"))
-    hb = habits.select(F.col("annotator").alias("b"), F.col("h").alias("hb"), F.col("n_votes").alias("nb"))
+    habits = counts.groupBy("annotator").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("h"))
+    side = lambda x: habits.select(F.col("annotator").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
     chance = F.aggregate(F.map_entries("ha"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("hb", e["key"]), F.lit(0)))
-    pairs = pairs.join(ha, "a").join(hb, "b").withColumn("chance", chance / F.col("na") / F.col("nb"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("chance", chance / F.col("na") / F.col("nb"))
     centred = (F.col("same") / F.col("both") - F.col("chance")) / F.greatest(1 - F.col("chance"), F.lit(0.05))
-    pairs = checkpoint(pairs.select("a", "b", F.col("both").alias("w"), centred.alias("m")))
-    vec = pairs.groupBy(F.col("a").alias("i")).agg(F.sqrt(F.greatest(F.sum(F.expr("w * m")) / F.sum("w"), F.lit(0.01))).alias("r"))
+    half = pairs.select("a", "b", centred.alias("m"), (F.col("both") / (F.col("both") + OVERLAP)).alias("s"))
+    full = checkpoint(half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "m", "s")))
+    seen = full.groupBy("a").agg(F.sum("s").alias("t"))
+    others = full.agg((F.count_distinct("a") - 1).alias("others"))
+    e = full.join(seen, "a").join(seen.select(F.col("a").alias("b"), F.col("t").alias("u")), "b").join(F.broadcast(others))
+    return e.select("a", "b", F.expr("m * s * others / sqrt(t * u)").alias("m"))
+
+
+def reliabilities(votes: DataFrame) -> DataFrame:
+    """(annotator, reliability, n_votes); reliability is about 1 for no errors, 0 for chance,
+    and null for an annotator who shares no item with another."""
+    totals = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_votes"))
+    matrix = checkpoint(agreement_matrix(votes))
+    vec = matrix.groupBy(F.col("a").alias("i")).agg(F.sqrt(F.greatest(F.avg("m"), F.lit(0.01))).alias("r"))
     for _ in range(ROUNDS):
+        before = vec = checkpoint(vec)
+        # r_i squared stands for the missing diagonal
+        full = matrix.unionByName(vec.select(F.col("i").alias("a"), F.col("i").alias("b"), F.expr("r * r").alias("m")))
+        x = vec.withColumnRenamed("r", "x")
         for _ in range(STEPS):
-            step = pairs.join(vec.withColumnsRenamed({"i": "b", "r": "rb"}), "b").groupBy("a").agg(
-                (F.sum(F.expr("w * m * rb")) / F.greatest(F.sum(F.expr("w * rb * rb")), F.lit(1e-9))).alias("next")
-            )
-            vec = vec.join(step, vec["i"] == step["a"]).select("i", ((F.col("r") + F.least(F.greatest("next", F.lit(-1.0)), F.lit(1.0))) / 2).alias("r"))
+            x = full.join(x.withColumnRenamed("i", "b"), "b").groupBy(F.col("a").alias("i")).agg(F.sum(F.expr("m * x")).alias("x"))
+        x = x.join(before, "i")
+        # the length of r is that for which r r' is nearest to the matrix
+        size = x.agg(F.sqrt(F.sum(F.expr("x * x"))).alias("norm"), F.sum(F.expr("x * r")).alias("along"), F.sum(F.expr("r * r")).alias("rr"))
+        value = F.pow(F.greatest(F.col("along") / F.col("rr"), F.lit(1e-9)), 1 / STEPS)
+        vec = x.join(F.broadcast(size)).select("i", (F.col("x") / F.col("norm") * F.sqrt(value)).alias("r"))
         vec = checkpoint(vec)
-    return totals.join(vec, totals["annotator"] == vec["i"], "left").select("annotator", F.col("r").alias("reliability"), "n_votes")
+        if (vec.join(before.withColumnRenamed("r", "q"), "i").agg(F.max(F.abs(F.col("r") - F.col("q")))).head()[0] or 0.0) < STILL:
+            break
+    sign = vec.agg(F.signum(F.sum("r")).alias("sign"))
+    vec = vec.join(F.broadcast(sign)).select("i", (F.col("r") * F.col("sign")).alias("r"))
+    return totals.join(vec, totals["annotator"] == vec["i"], "left").select("annotator", F.least("r", F.lit(1.0)).alias("reliability"), "n_votes")
+
 
+def _weighed(votes: DataFrame, rel: DataFrame) -> DataFrame:
+    """votes with r, the bounded reliability of the annotator, and p, the frequency of the label."""
+    r = F.least(F.greatest(F.coalesce("reliability", F.lit(UNKNOWN)), F.lit(BOUNDS[0])), F.lit(BOUNDS[1]))
+    used = votes.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("n"))
+    freq = used.groupBy("label").agg(F.sum("n").alias("n"))
+    freq = freq.join(F.broadcast(freq.agg(F.sum("n").alias("all")))).select("label", (F.col("n") / F.col("all")).alias("p"))
+    used = used.drop("n").join(rel.select("annotator", r.alias("r")), "annotator").join(freq, "label")
+    return salted_join(votes, used, ["annotator", "label"])
 
-def _score(votes: DataFrame, habit: DataFrame, prior: list[float], n: int) -> DataFrame:
-    """Votes read with (annotator, label, l0..): (item, votes, s0.. log scores of each label)."""
-    joined = salted_join(votes, habit, ["annotator", "label"])
-    return joined.groupBy("item").agg(
-        F.collect_list(F.struct("annotator", "label")).alias("votes"),
-        *((F.sum(f"l{k}") + F.lit(float(np.log(prior[k])))).alias(f"s{k}") for k in range(n)),
-    )
+
+def _decide(per: DataFrame, min_annotators: int) -> DataFrame:
+    """per: (item, label, s, n): score and votes of each label voted for an item."""
+    best = F.min(F.struct((-F.round("s", 9)).alias("s"), "label", "n"))
+    out = per.groupBy("item").agg(best.alias("b"), F.sum("n").alias("size"), F.sum(F.expr("n * (n - 1)")).alias("same")).where(F.col("size") >= min_annotators)
+    size = F.col("size")
+    agreement = F.when(size > 1, F.col("same") / (size * (size - 1)))
+    return out.select("item", "b.label", size.cast("int").alias("n_votes"), agreement.alias("agreement"), (F.col("b.n") / size).alias("vote_share"))
 
 
 def consensus(votes: DataFrame, *, min_annotators: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -129,59 +174,50 @@ def consensus(votes: DataFrame, *, min_annotators: int = 3) -> tuple[DataFrame,
     reliability of 0.5; no votes give empty results.
     """
     votes = checkpoint(votes.select("item", "annotator", "label").distinct())
-    spark = votes.sparkSession
-    freq = votes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
-    if len(freq) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    names = sorted(r["label"] for r in freq)
-    if not names:
-        empty = votes.select("item", "label", F.lit(0).alias("n_votes"), F.lit(0.0).alias("agreement"), F.lit(0.0).alias("vote_share"))
-        return empty, votes.select("annotator", F.lit(0.0).alias("reliability"), F.lit(0).cast("long").alias("n_votes"))
-    n = len(names)
-    total = sum(r["n"] for r in freq)
-    prior = [next((r["n"] + 1) / (total + n) for r in freq if r["label"] == v) for v in names]
-    items = votes.groupBy("item").agg(F.collect_list(F.struct("annotator", "label")).alias("votes"))
-    rel = checkpoint(reliabilities(votes, items))
-    # the habit of an annotator of reliability r: the true label with chance r, else one at random by its frequency
-    r = F.least(F.greatest(F.coalesce("reliability", F.lit(0.5)), F.lit(0.0)), F.lit(0.97))
-    labels = spark.createDataFrame([(v, k) for k, v in enumerate(names)], "label string, k int")
-    base = rel.select("annotator", r.alias("r")).join(F.broadcast(labels))
-    freqs = F.element_at(F.array(*(F.lit(p) for p in prior)), F.col("k") + 1)
-    one = checkpoint(base.select("annotator", "label", *(((1 - F.col("r")) * freqs + F.when(F.col("k") == t, F.col("r")).otherwise(0.0)).alias(f"q{t}") for t in range(n))))
-    habit = one.select("annotator", "label", *(F.log(F.greatest(f"q{t}", F.lit(1e-6))).alias(f"l{t}") for t in range(n)))
+    rel = checkpoint(reliabilities(votes))
+    # how much likelier a vote is under its own label than under any other, and the frequency of that
+    w = F.log(1 + F.col("r") / ((1 - F.col("r")) * F.col("p")))
+    per = _weighed(votes, rel).groupBy("item", "label").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n"), F.first("p").alias("p"))
+    return _decide(per.select("item", "label", (F.col("w") + F.log("p")).alias("s"), "n"), min_annotators), rel
+
+
+def habit_consensus(votes: DataFrame, rel: DataFrame, *, min_annotators: int = 3) -> DataFrame:
+    """The same columns as consensus(), by label habits.
+
+    rel: (annotator, reliability) of consensus(), the start and what habits are smoothed
+    towards. Each round reads every vote under each label its item may have (those voted for it and
+    those for which these are commonly given), with the chance that its annotator gives this
+    label for that one, and counts the habits anew by how likely each label is. Ties and empty tables as there.
+    """
+    votes = checkpoint(_weighed(votes.select("item", "annotator", "label").distinct(), rel))
+    freq = votes.groupBy(F.col("label").alias("truth")).agg(F.log(F.first("p")).alias("prior"))
+    voted = votes.groupBy("item", F.col("label").alias("truth")).agg(F.count(F.lit(1)).alias("n"))
+    cell, item = ["annotator", "label", "truth"], Window.partitionBy("item")
+
+    def readings(candidates: DataFrame) -> DataFrame:
+        """Every vote under every candidate of its item, with its chance by the one reliability."""
+        base = (1 - F.col("r")) * F.col("p") + F.when(F.col("label") == F.col("truth"), F.col("r")).otherwise(0.0)
+        read = votes.join(candidates, "item").join(freq, "truth")
+        return read.select("item", "annotator", "label", "truth", "n", "prior", base.alias("q"))
+
+    def scores(logs: DataFrame) -> DataFrame:
+        return logs.groupBy("item", "truth").agg((F.sum("l") + F.first("prior")).alias("s"), F.first("n").alias("n"))
+
+    def cells(read: DataFrame, logs: DataFrame) -> DataFrame:
+        """(annotator, label, truth, c, q): how often each label was given for each truth."""
+        x = scores(logs).withColumn("x", F.exp(F.col("s") - F.max("s").over(item)))
+        chance = x.select("item", "truth", (F.col("x") / F.sum("x").over(item)).alias("c"))
+        return checkpoint(read.join(chance, ["item", "truth"]).groupBy(*cell).agg(F.sum("c").alias("c"), F.first("q").alias("q")))
+
+    first_logs = lambda read: read.withColumn("l", F.log(F.greatest("q", F.lit(1e-6))))
+    read = readings(voted)
+    taken = cells(read, first_logs(read)).groupBy("label", "truth").agg(F.sum("c").alias("c"))
+    taken = taken.withColumn("all", F.sum("c").over(Window.partitionBy("label"))).where(F.col("c") >= COMMON * F.col("all"))
+    implied = voted.withColumnRenamed("truth", "label").join(taken.select("label", "truth"), "label").select("item", "truth", F.lit(0).cast("long").alias("n"))
+    read = checkpoint(readings(voted.unionByName(implied).groupBy("item", "truth").agg(F.max("n").alias("n"))))
+    logs = first_logs(read)
     for _ in range(REFINEMENTS):
-        scored = _score(votes, habit, prior, n)
-        top = F.greatest(*(F.col(f"s{k}") for k in range(n))) if n > 1 else F.col("s0")
-        exp = [F.exp(F.col(f"s{k}") - top) for k in range(n)]
-        norm = sum(exp[1:], exp[0])
-        post = scored.where(F.size("votes") > 1).select(F.explode("votes").alias("v"), *((exp[k] / norm).alias(f"p{k}") for k in range(n)))
-        cells = post.groupBy(F.col("v.annotator").alias("annotator"), F.col("v.label").alias("label")).agg(*(F.sum(f"p{k}").alias(f"c{k}") for k in range(n)))
-        sums = cells.groupBy("annotator").agg(*(F.sum(f"c{k}").alias(f"n{k}") for k in range(n)))
-        est = one.join(cells, ["annotator", "label"], "left").join(sums, "annotator", "left")
-        zero = F.lit(0.0)
-        habit = checkpoint(
-            est.select(
-                "annotator",
-                "label",
-                *(
-                    F.log(F.greatest((F.coalesce(f"c{t}", zero) + SMOOTHING * F.col(f"q{t}")) / (F.coalesce(f"n{t}", zero) + SMOOTHING), F.lit(1e-6))).alias(f"l{t}")
-                    for t in range(n)
-                ),
-            )
-        )
-    scored = _score(votes, habit, prior, n)
-    best = F.array_max(F.array(*(F.struct(F.col(f"s{k}").alias("s"), F.lit(-k).alias("k")) for k in range(n))))["k"]
-    label = F.element_at(F.array(*(F.lit(v) for v in names)), 1 - best)
-    size = F.size("votes")
-    votes_for = lambda x: F.size(F.filter("votes", lambda v: v["label"] == x))
-    per = [votes_for(x) for x in names]
-    same = sum((c * (c - 1) for c in per[1:]), per[0] * (per[0] - 1))
-    out = scored.where(size >= min_annotators).select(
-        "item",
-        label.alias("label"),
-        size.alias("n_votes"),
-        F.when(size > 1, same / (size * (size - 1))).alias("agreement"),
-        F.col("votes"),
-    )
-    share = F.size(F.filter("votes", lambda v: v["label"] == F.col("label"))) / F.col("n_votes")
-    return out.select("item", "label", "n_votes", "agreement", share.alias("vote_share")), rel
+        seen = cells(read, logs).withColumn("all", F.sum("c").over(Window.partitionBy("annotator", "truth")))
+        habit = seen.select(*cell, F.log(F.greatest((F.col("c") + SMOOTHING * F.col("q")) / (F.col("all") + SMOOTHING), F.lit(1e-6))).alias("l"))
+        logs = salted_join(read.drop("q"), habit, cell)
+    return _decide(scores(logs).withColumnRenamed("truth", "label"), min_annotators)

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.broken_pairs import broken_pairs
-from colloquy.llm.consensus import consensus, latest_votes
-from colloquy.llm.grouped_splits import assign_splits, entity_groups, norm_ticker
+from colloquy.llm.consensus import consensus, habit_consensus, latest_votes
+from colloquy.llm.grouped_splits import assign_splits, entity_groups, norm_ticker, split_shares
 from colloquy.llm.leakage import leaked_passages
 from colloquy.llm.nearest_time import nearest_time
 from colloquy.llm.pieces import split_oversized
-from colloquy.llm.speaker_turns import label_speakers, speaker_turns
+from colloquy.llm.speaker_turns import label_speakers, speaker_turns, turn_starts
 from colloquy.llm.survivorship import survivors
 from colloquy.llm.tokenizer import encode_texts
-from colloquy.runtime import norm_key, read_table, salted_join, spread
+from colloquy.runtime import checkpoint, norm_key, read_spread, read_table, salted_join
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -83,9 +83,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("record").alias("case_id"), F.col("group").alias("group_case_id"))
 
 
-@query
-def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of gold_labels and labels with its group and split."""
+def _splits(spark: SparkSession, d: str) -> DataFrame:
     gold, labels = read_table(spark, d, "gold_labels"), read_table(spark, d, "labels")
     tidy = lambda c: F.lower(F.regexp_replace(F.trim(c), r"[\s\-_]+", "_"))
     rows = gold.select(
@@ -107,8 +105,19 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     groups = entity_groups(edges)
     rows = salted_join(rows, groups.withColumnRenamed("record", "case_id"), ["case_id"], how="left")
     rows = rows.withColumn("group", F.coalesce("group", F.concat_ws(":", "from_table", F.col("row_id").cast("string"))))
-    out = assign_splits(rows, ["train", "validation", "test"], [0.8, 0.1, 0.1])
-    return out.select("from_table", "row_id", "case_id", F.col("group").alias("group_case_id"), "split")
+    return assign_splits(rows, ["train", "validation", "test"], [0.8, 0.1, 0.1])
+
+
+@query
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of gold_labels and labels with its group and split."""
+    return _splits(spark, d).select("from_table", "row_id", "case_id", F.col("group").alias("group_case_id"), "split")
+
+
+@query
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of rows and labels that the splits reach."""
+    return split_shares(_splits(spark, d))
 
 
 SQL["p4_found"] = r"""
@@ -190,7 +199,7 @@ from f group by k having count(*) >= 2"""
 
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(spread(read_table(spark, d, "documents")), "doc_id", "text")
+    return encode_texts(read_spread(spark, d, "documents"), "doc_id", "text")
 
 
 # 9. Leaked evaluation passages
@@ -199,7 +208,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_runs(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(
-        spread(read_table(spark, d, "documents")),
+        read_spread(spark, d, "documents"),
         read_table(spark, d, "eval_passages"),
         doc_id="doc_id",
         doc_text="text",
@@ -218,20 +227,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(spread(read_table(spark, d, "documents")), "doc_id", "text")
+    return split_oversized(read_spread(spark, d, "documents"), "doc_id", "text")
 
 
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_oversized(spread(read_table(spark, d, "documents")), "doc_id", "text", with_text=False)
+    pieces = split_oversized(read_spread(spark, d, "documents"), "doc_id", "text", with_text=False)
     return pieces.where("piece_no = 2").select("doc_id").distinct()
 
 
 # 2. Consensus of reviewers
 
 
-def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    votes = latest_votes(
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return latest_votes(
         read_table(spark, d, "gold_labels"),
         item="chunk_id",
         annotator="reviewer",
@@ -239,22 +248,24 @@ def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         time="review_timestamp",
         row_id="gold_label_id",
     )
-    return consensus(votes)
 
 
 @query
 def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d)[0].withColumnRenamed("item", "chunk_id")
+    """By the spectral weights alone."""
+    return consensus(_votes(spark, d))[0].withColumnRenamed("item", "chunk_id")
 
 
 @query
 def p2_reviewers(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d)[1].withColumnRenamed("annotator", "reviewer")
+    return consensus(_votes(spark, d))[1].withColumnRenamed("annotator", "reviewer")
 
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d)[0].select(F.col("item").alias("chunk_id"), "label")
+    """By label habits, which start from the spectral weights."""
+    votes = checkpoint(_votes(spark, d))
+    return habit_consensus(votes, consensus(votes)[1]).select(F.col("item").alias("chunk_id"), "label")
 
 
 # 1. Broken prompt and response pairs
@@ -263,7 +274,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(
-        spread(read_table(spark, d, "joined_qa_audio_review")),
+        read_spread(spark, d, "joined_qa_audio_review"),
         pair_id="row_id",
         prompt="analyst_question_excerpt",
         response="management_answer_excerpt",
@@ -275,12 +286,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:
-    return speaker_turns(read_table(spark, d, "transcript_segments"), read_table(spark, d, "participants"))
+    return speaker_turns(read_spread(spark, d, "transcript_segments"), read_table(spark, d, "participants"))
 
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_turns(spark, d).select("case_id", "turn_no", "speaker_id", "message_index")
+    return turn_starts(read_spread(spark, d, "transcript_segments"), read_table(spark, d, "participants"))
 
 
 @query
