@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,28 @@ def lits(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.trim(c, F.lit(WHITE))
+
+
+def compact(c: Column) -> Column:
+    """Lower case, white space collapsed and trimmed."""
+    return F.regexp_replace(strip(F.lower(c)), r"[ \t\n\x0B\f\r]+", " ")
+
+
+def any_pattern(c: Column, patterns: list[str]) -> Column:
+    return c.rlike("|".join(f"(?:{p})" for p in patterns))
+
+
+def any_phrase(c: Column, phrases: list[str]) -> Column:
+    """Whether any phrase is in a text, also as part of a word."""
+    return reduce(lambda a, b: a | b, (c.contains(p) for p in phrases))
+
+
 def normalize_space(c: Column) -> Column:
     """Null becomes empty; runs of white space become one space; trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
@@ -36,16 +60,27 @@ def without(ts: Column, stop: list[str]) -> Column:
     return F.filter(ts, lambda t: ~t.isin(stop))
 
 
-def term_found(c: Column, term: str) -> Column:
-    """A phrase as a substring of normalised lower text, a single word between word boundaries."""
-    t = F.lower(normalize_space(c))
+def plain(c: Column) -> Column:
+    """What terms are looked for in: lower case, white space normalised, null as empty."""
+    return F.lower(normalize_space(c))
+
+
+def term_in(t: Column, term: str) -> Column:
+    """A phrase as a substring of a plain text, a single word between word boundaries."""
     return t.contains(term) if " " in term else t.rlike(rf"\b\Q{term}\E\b")
 
 
+def terms_in(t: Column, terms: list[str], limit: int = 8) -> Column:
+    """Terms found in a plain text, in the order of the list, the first ``limit`` only."""
+    return F.slice(F.array_compact(F.array(*(F.when(term_in(t, w), F.lit(w)) for w in terms))), 1, limit)
+
+
+def term_found(c: Column, term: str) -> Column:
+    return term_in(plain(c), term)
+
+
 def matched_terms(c: Column, terms: list[str], limit: int = 8) -> Column:
-    """Terms found, in the order of the list, the first ``limit`` only."""
-    found = F.array_compact(F.array(*(F.when(term_found(c, t), F.lit(t)) for t in terms)))
-    return F.slice(found, 1, limit)
+    return terms_in(plain(c), terms, limit)
 
 
 def phrase_count(c: Column, phrases: list[str]) -> Column:
@@ -170,8 +205,10 @@ def redact(c: Column) -> Column:
 
 
 def normalize_role(c: Column, roles: dict[str, str]) -> Column:
+    """A role by its canonical name; others stand for themselves in lower case with underscores, an empty one for unknown."""
     r = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[\s-]+", "_")
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)), r), F.lit("unknown"))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)), r)
+    return F.coalesce(known, F.nullif(r, F.lit("")), F.lit("unknown"))
 
 
 def clamp01(c: Column) -> Column:

@@ -42,9 +42,13 @@ def merge_turns(turns: DataFrame) -> DataFrame:
 def pair_merged(turns: DataFrame, prompt: str, response: str) -> DataFrame:
     """Merged turns of the two roles in pairs: a prompt with the response that follows, a prompt
     without one, and a response without a prompt. (conv, prompt_turn, response_turn, prompt, response)"""
-    m = merge_turns(turns.where(F.col("role").isin(prompt, response)))
+    return pairs_of(merge_turns(turns.where(F.col("role").isin(prompt, response))), prompt, response)
+
+
+def pairs_of(merged: DataFrame, prompt: str, response: str) -> DataFrame:
+    """pair_merged() of turns that are merged already."""
     w = Window.partitionBy("conv").orderBy("island")
-    m = m.select("*", F.lead("text").over(w).alias("next_text"), F.lead("turn").over(w).alias("next_turn"), F.lag("island").over(w).alias("before"))
+    m = merged.select("*", F.lead("text").over(w).alias("next_text"), F.lead("turn").over(w).alias("next_turn"), F.lag("island").over(w).alias("before"))
     asked = m.where(F.col("role") == prompt).select("conv", F.col("turn").alias("prompt_turn"), F.col("next_turn").alias("response_turn"), F.col("text").alias("prompt"), F.col("next_text").alias("response"))
     orphan = m.where((F.col("role") == response) & F.col("before").isNull())
     none = F.lit(None)
@@ -98,17 +102,17 @@ def lexicon_ratio(ts: Column, lexicon: list[str]) -> Column:
 def pair_diagnostics(pairs: DataFrame) -> DataFrame:
     """Per pair: overlap, directness and whether the response deflects. No response: 0 and true."""
     p, r = (T.without(T.tokens(F.col(c)), L.STOP_WORDS) for c in ("prompt", "response"))
+    hedge = T.share(F.size(F.filter(T.tokens(F.col("response")), lambda t: t.isin(L.HEDGING))), F.size(T.tokens(F.col("response"))))
     d = pairs.where("prompt is not null").select(
         "conv", "prompt_turn", "response", F.when(F.col("response").isNull(), 0.0).otherwise(T.overlap(p, r)).alias("overlap"),
         (T.phrase_count(F.col("response"), L.DIRECT) > 0).alias("direct"),
         (T.phrase_count(F.col("response"), L.DEFLECTION) > 0).alias("phrase"),
-        T.share(F.size(F.filter(T.tokens(F.col("response")), lambda t: t.isin(L.HEDGING))), F.size(T.tokens(F.col("response")))).alias("hedge"),
+        F.round(hedge, 4).alias("hedge"),
     )
     score = 0.6 * F.col("overlap") + F.when(F.col("direct"), 0.25).otherwise(0.0) + 0.15 * (1 - F.least(F.lit(1.0), 3 * F.col("hedge"))) - F.when(F.col("phrase"), 0.35).otherwise(0.0)
     answered = F.col("response").isNotNull()
     return d.select(
-        "conv", "prompt_turn", F.round("overlap", 4).alias("overlap"),
-        F.round(F.when(answered, T.clamp01(score)).otherwise(0.0), 4).alias("directness"),
+        "conv", "prompt_turn", "overlap", F.when(answered, T.clamp01(score)).otherwise(0.0).alias("directness"),
         F.when(answered, F.col("phrase") | ((F.col("overlap") < 0.15) & ~F.col("direct"))).otherwise(True).alias("deflects"),
     )
 
@@ -125,35 +129,38 @@ def pair_cosine(pairs: DataFrame) -> DataFrame:
         F.sum(F.expr("a * b * w")).alias("ab"), F.sqrt(F.sum(F.expr("a * a * w"))).alias("na"), F.sqrt(F.sum(F.expr("b * b * w"))).alias("nb")
     )
     c = dot.select("conv", "prompt_turn", F.when(F.expr("na * nb > 0"), F.expr("ab / (na * nb)")).otherwise(0.0).alias("c"))
-    return both.select("conv", "prompt_turn").join(c, ["conv", "prompt_turn"], "left").select("conv", "prompt_turn", F.round(F.coalesce("c", F.lit(0.0)), 4).alias("cosine"))
+    return both.select("conv", "prompt_turn").join(c, ["conv", "prompt_turn"], "left").select("conv", "prompt_turn", F.coalesce("c", F.lit(0.0)).alias("cosine"))
 
 
 def conversation_features(turns: DataFrame, prompt: str, response: str) -> DataFrame:
-    """Eight features of each conversation, the blended score and its flags."""
-    t = spoken(turns).withColumn("ts", T.tokens(F.col("text")))
+    """Features of each conversation of two roles, their blend and flags; other roles are left out.
+
+    Turns are merged once. Means are rounded last; without an answered pair consistency is 1,
+    without a pair directness and deflection are 0."""
+    m = merge_turns(turns.where(F.col("role").isin(prompt, response)))
+    t = m.select("conv", "role", T.tokens(F.col("text")).alias("ts"))
     side = lambda who: F.when(F.col("role") == who, F.col("ts")).otherwise(F.array().cast("array<string>"))
     a, c = F.sum(F.size(side(response))), F.sum(F.size(side(prompt)))
     base = t.groupBy("conv").agg(
         lexicon_ratio(F.col("ts"), L.POSITIVE).alias("positive"), lexicon_ratio(F.col("ts"), L.NEGATIVE).alias("negative"),
         lexicon_ratio(side(response), L.HEDGING).alias("hedging"), lexicon_ratio(side(prompt), L.NEGATIVE).alias("prompt_negative"),
-        F.round(T.share(a, a + c), 4).alias("verbosity"),
+        F.round(T.share(a, a + c), 4).alias("verbosity"), F.count_if(F.col("role") == response).alias("n_responses"),
     )
-    pairs = pair_merged(turns, prompt, response)
+    pairs = pairs_of(m, prompt, response)
     d = pair_diagnostics(pairs).groupBy("conv").agg(
-        F.round(F.avg("directness"), 4).alias("directness"), F.round(F.avg(F.col("deflects").cast("int")), 4).alias("deflection"), F.count(F.lit(1)).alias("n_pairs")
+        F.round(T.clamp01(F.avg("directness")), 4).alias("directness"), F.round(F.avg(F.col("deflects").cast("int")), 4).alias("deflection"), F.count(F.lit(1)).alias("n_pairs")
     )
     cos = pair_cosine(pairs).groupBy("conv").agg(F.round(F.least(F.lit(1.0), F.avg("cosine") * 2.5), 4).alias("consistency"))
     j = base.join(d, "conv", "left").join(cos, "conv", "left").fillna({"directness": 0.0, "deflection": 0.0, "n_pairs": 0, "consistency": 1.0})
     score = F.expr(
-        "0.30 * directness + 0.20 * (1 - deflection) + 0.15 * consistency + 0.10 * (1 - least(1D, hedging * 5)) + 0.10 * least(1D, positive * 10)"
-        " + 0.10 * (1 - least(1D, negative * 10)) + 0.05 * (1 - abs(verbosity - 0.5) * 2)"
+        "0.30D * directness + 0.20D * (1 - deflection) + 0.15D * consistency + 0.10D * (1 - negative) + 0.10D * positive"
+        " + 0.10D * (1 - hedging) + 0.05D * greatest(0D, least(1D, 1 - abs(0.5D - verbosity) * 2))"
     )
-    j = j.withColumn("score", F.round(T.clamp01(score), 4))
     flags = F.array_compact(F.array(
-        F.when(F.col("deflection") >= 0.5, "high_deflection"), F.when(F.col("directness") < 0.3, "low_directness"),
-        F.when(F.col("prompt_negative") >= 0.05, "negative_prompts"), F.when(F.col("verbosity") > 0.8, "overtalk"),
+        F.when(F.col("prompt_negative") > 0.2, "customer_frustration"), F.when(F.col("deflection") > 0.3, "agent_deflection"),
+        F.when(F.col("directness") < 0.4, "low_directness"), F.when((F.col("n_responses") >= 2) & (F.col("consistency") < 0.5), "inconsistent_messaging"),
     ))
-    return j.withColumn("flags", F.array_join(flags, ","))
+    return j.withColumns({"score": F.round(T.clamp01(score), 4), "flags": F.array_join(flags, ",")})
 
 
 def participants_of(turns: DataFrame) -> DataFrame:
@@ -169,9 +176,41 @@ def term_evidence(turns: DataFrame, terms: list[str], limit: int = 5) -> DataFra
     return hit.select("conv", "turn", "term", "k")
 
 
-def signed_sentiment(c: Column) -> Column:
-    """(positive - negative) / (positive + negative + 2) of a text's reassurance and skepticism words."""
-    ts = T.tokens(c)
-    pos = F.size(F.filter(ts, lambda t: t.isin("healthy", "strongest", "improved", "improving", "encouraging", "better", "grew", "raising", *L.POSITIVE)))
-    neg = F.size(F.filter(ts, lambda t: t.isin("declined", "slipped", "lower", "lowering", "volatility", "weighed", "shortages", "headwind", *L.NEGATIVE)))
-    return (pos - neg) / (pos + neg + 2)
+def sentiment_proxy(turns: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
+    """(conv, proxy): (positive + 1) / (positive + negative + 2), each term once for each turn that has it."""
+    t = turns.select("conv", T.plain(F.col("text")).alias("t"))
+    n = lambda ws: sum((T.term_in(F.col("t"), w).cast("int") for w in ws[1:]), T.term_in(F.col("t"), ws[0]).cast("int"))
+    g = t.groupBy("conv").agg(F.sum(n(positive)).alias("p"), F.sum(n(negative)).alias("n"))
+    return g.select("conv", F.round((F.col("p") + 1) / (F.col("p") + F.col("n") + 2), 4).alias("proxy"))
+
+
+def pair_directness(pairs: DataFrame, direct: list[str], deflection: list[str], hedges: list[str]) -> DataFrame:
+    """(conv, directness): mean over prompts of .65 overlap + .25 direct cue + .10 max(0, 1 - .3 hedges) - .35 deflection; parts of words count."""
+    p, r = (T.without(T.words(F.col(c)), L.SHORT_STOP_WORDS) for c in ("prompt", "response"))
+    low = F.lower(F.coalesce("response", F.lit("")))
+    hits = lambda ws: T.phrase_count(F.col("response"), ws)
+    s = 0.65 * T.overlap(p, r) + 0.25 * T.any_phrase(low, direct).cast("int") + 0.1 * F.greatest(F.lit(0.0), 1 - 0.3 * hits(hedges)) - 0.35 * T.any_phrase(low, deflection).cast("int")
+    each = pairs.where("prompt is not null").select("conv", F.when(F.col("response").isNull(), 0.0).otherwise(T.clamp01(s)).alias("s"))
+    return each.groupBy("conv").agg(F.round(F.avg("s"), 4).alias("directness"))
+
+
+def joined_blocks(turns: DataFrame, key: list[str]) -> DataFrame:
+    """Neighbouring turns with equal ``key`` as one block: (conv, block, key..., turn, turns, text)."""
+    t = spoken(turns)
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.lag(k).over(by_turn()))
+    first = F.row_number().over(by_turn()) == 1
+    t = t.withColumn("block", F.sum((first | ~same).cast("int")).over(so_far()))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return t.groupBy("conv", "block").agg(*(F.first(k).alias(k) for k in key), F.min("turn").alias("turn"), F.transform(rows, lambda x: x["turn"]).alias("turns"), F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("text"))
+
+
+def question_blocks(blocks: DataFrame, asker: str, answerer: str) -> DataFrame:
+    """(conv, pair_id, question_turn, n_answers, answer): each question block with all answer blocks up to the next question."""
+    w = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    q = F.col("role") == asker
+    t = blocks.withColumn("pair_id", F.sum(q.cast("int")).over(w)).where("pair_id > 0").where(q | (F.col("role") == answerer))
+    answers = F.array_sort(F.collect_list(F.when(~q, F.struct("block", "text"))))
+    g = t.groupBy("conv", "pair_id").agg(F.min(F.when(q, F.col("turn"))).alias("question_turn"), answers.alias("a"))
+    return g.where("size(a) > 0").select("conv", "pair_id", "question_turn", F.size("a").alias("n_answers"), F.array_join(F.transform("a", lambda x: x["text"]), " ").alias("answer"))

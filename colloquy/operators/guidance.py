@@ -6,12 +6,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions import lexicons as L
+from colloquy.functions import text as T
 from colloquy.functions.text import round_significant
 
 #: Two midpoints closer than this are the same.
 EPSILON = 0.05
 
 
+def statements(df: DataFrame, text: str, signed: str) -> DataFrame:
+    """Rows whose text has a guidance cue, with topic, period, numbers, midpoint and the strength of the statement.
+
+    signed: the signed score of the text's tone. Empty texts are no statements."""
+    c, low = F.col(text), F.lower(F.col(text))
+    g = df.where(T.strip(c) != "").withColumn("n_cues", T.phrase_count(c, L.GUIDANCE_CUES)).where("n_cues > 0")
+    g = g.withColumns({
+        "topic": T.argmax_topic(c, L.TOPICS, "other"), "period": T.period_tag(c), "numbers": T.numbers(c), "midpoint": T.midpoint(c), "count_numbers": F.size(T.numbers(c)),
+        "has_percent": low.rlike(r"%|percent|bps|basis points"), "has_range": T.number_range(c).isNotNull(), "has_currency": low.rlike(r"\$|€|£|million|billion|bn\b|mm\b"),
+    })
+    part = lambda cond, w: F.when(cond, w).otherwise(0.0)
+    s = 0.4 * F.least(F.lit(1.0), F.col("count_numbers") / 4.0) + part(F.col("has_percent"), 0.15) + part(F.col("has_range"), 0.15) + part(F.col("has_currency"), 0.1)
+    s = s + 0.2 * F.greatest(F.lit(0.0), F.col(signed)) + F.least(F.lit(0.1), 0.02 * F.col("n_cues"))
+    return g.withColumn("guidance_strength", F.round(F.least(F.lit(1.0), s), 4))
+
+
 def signature(numbers: Column) -> Column:
     """Sorted distinct numbers to three significant digits."""
     return F.array_sort(F.array_distinct(F.transform(numbers, lambda x: F.round(round_significant(x), 6))))

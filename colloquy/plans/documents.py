@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as T
 from colloquy.operators import retrieval as R
-from colloquy.plans.registry import Registry, sql_list
+from colloquy.plans.registry import Registry
+from colloquy.plans.sqltext import sql_list
 from colloquy.runtime import read_spread, read_table
 
 query = Registry()
@@ -62,81 +63,6 @@ def doc_numbers(spark, d):
     return t.select("doc_id", F.size(ns).alias("n_numbers"), F.get(ns, 0).alias("first_number"), T.midpoint(F.col("text")).alias("midpoint"))
 
 
-_TOPIC = ", ".join(f"{{'n': {_N('text', p)}, 'o': {-i}, 't': '{t}'}}" for i, (t, p) in enumerate(L.TOPICS.items()))
-
-
-@query(rf"""with t as (select doc_id, text, list_reverse_sort([{_TOPIC}])[1] b from documents where text is not null)
-select doc_id, case when b.n > 0 then b.t else 'other' end topic,
-  case when regexp_matches(lower(text), '\bq[1-4]\b') then 'Q' || regexp_extract(lower(text), '\bq([1-4])\b', 1) when regexp_matches(lower(text), '\bfy\b|fiscal year|full year') then 'FY'
-    when contains(lower(text), 'year') then 'Year' when contains(lower(text), 'quarter') then 'Quarter' else 'Unknown' end period from t""")
-def doc_topic_period(spark, d):
-    t = docs(spark, d).where("text is not null")
-    return t.select("doc_id", T.argmax_topic(F.col("text"), L.TOPICS, "other").alias("topic"), T.period_tag(F.col("text")).alias("period"))
-
-
-_RULES = [(f, *r) for f, rs in (("uncertainty", L.UNCERTAINTY_RULES), ("reassurance", L.REASSURANCE_RULES), ("skepticism", L.SKEPTICISM_RULES)) for r in rs]
-_RULE_ROWS = ", ".join(f"('{f}', '{n}', '{p}', {s})" for f, n, p, s in _RULES)
-
-
-@query(rf"""with r(family, rule, pattern, strength) as (values {_RULE_ROWS}),
-h as (select doc_id, family, rule, strength, len(regexp_extract_all(lower(text), pattern)) hits from documents, r where text is not null)
-select doc_id, family, rule, hits, hits * strength strength from h where hits > 0""")
-def doc_rule_hits(spark, d):
-    """All matches of every rule: one pass over the text, rules as columns."""
-    t = F.lower(F.col("text"))
-    cells = [F.struct(F.lit(f).alias("family"), F.lit(n).alias("rule"), F.regexp_count(t, F.lit(p)).alias("hits"), F.lit(s).alias("s")) for f, n, p, s in _RULES]
-    h = docs(spark, d).where("text is not null").select("doc_id", F.inline(F.array(*cells)))
-    return h.where("hits > 0").select("doc_id", "family", "rule", "hits", (F.col("hits") * F.col("s")).alias("strength"))
-
-
-@query(rf"""with r(family, rule, pattern, strength) as (values {_RULE_ROWS}),
-h as (select doc_id, family, sum(len(regexp_extract_all(lower(text), pattern)) * strength) s from documents, r where text is not null group by all)
-select doc_id, family, cast(s as bigint) strength, case when s >= 5 then 'high' when s >= 2 then 'medium' else 'low' end as level from h where s > 0""")
-def doc_rule_levels(spark, d):
-    h = doc_rule_hits(spark, d).groupBy("doc_id", "family").agg(F.sum("strength").alias("strength"))
-    return h.withColumn("level", F.when(F.col("strength") >= 5, "high").when(F.col("strength") >= 2, "medium").otherwise("low"))
-
-
-_DIR = "case " + " ".join(f"when {_ANY('text', p)} then '{n}'" for n, p in L.DIRECTIONS.items()) + " else 'unclear' end"
-
-
-@query(rf"""with g as (select doc_id, text, {_N('text', L.GUIDANCE_CUES)} cues, len(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')) n from documents where text is not null)
-select doc_id, {_DIR} direction, cues n_cues, round(least(1, 0.4 * least(1, n / 4.0) + case when regexp_matches(lower(text), '%|percent|bps|basis points') then 0.15 else 0 end
-  + case when regexp_matches(lower(text), '\$|€|£|million|billion|\bbn\b') then 0.1 else 0 end + least(0.1, 0.02 * cues)), 4) strength from g where cues > 0 and n > 0""")
-def doc_guidance(spark, d):
-    c = F.col("text")
-    g = docs(spark, d).where("text is not null").select("doc_id", "text", T.phrase_count(c, L.GUIDANCE_CUES).alias("n_cues"), F.size(T.numbers(c)).alias("n"))
-    low = F.lower(c)
-    s = 0.4 * F.least(F.lit(1.0), F.col("n") / 4.0) + F.when(low.rlike(r"%|percent|bps|basis points"), 0.15).otherwise(0.0)
-    s = s + F.when(low.rlike(r"\$|€|£|million|billion|\bbn\b"), 0.1).otherwise(0.0) + F.least(F.lit(0.1), 0.02 * F.col("n_cues"))
-    return g.where("n_cues > 0 and n > 0").select("doc_id", T.first_direction(c, L.DIRECTIONS, "unclear").alias("direction"), "n_cues", F.round(F.least(F.lit(1.0), s), 4).alias("strength"))
-
-
-_EMO = ", ".join(
-    f"{{'s': {' + '.join(f'{w} * list_contains(ts, {k!r})::int' for k, w in ws.items())}, 'o': {-i}, 'e': '{e}'}}" for i, (e, ws) in enumerate(L.EMOTIONS.items())
-)
-
-
-@query(rf"""with t as (select doc_id, {_TOK} ts from documents), b as (select doc_id, list_reverse_sort([{_EMO}])[1] b from t)
-select doc_id, case when b.s > 0 then b.e else 'neutral' end emotion, round(least(0.95, b.s / 6), 4) confidence from b""")
-def doc_emotion(spark, d):
-    t = docs(spark, d).select("doc_id", T.words(F.col("text")).alias("ts"))
-    has = lambda k: F.array_contains("ts", k).cast("int")
-    cells = [F.struct(sum((w * has(k) for k, w in ws.items()), F.lit(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(e).alias("e")) for i, (e, ws) in enumerate(L.EMOTIONS.items())]
-    t = t.withColumn("b", F.array_max(F.array(*cells)))
-    return t.select("doc_id", F.when(F.col("b.s") > 0, F.col("b.e")).otherwise("neutral").alias("emotion"), F.round(F.least(F.lit(0.95), F.col("b.s") / 6), 4).alias("confidence"))
-
-
-@query(rf"""select doc_id, {_ANY('text', L.BOILERPLATE)} boilerplate, len(regexp_extract_all(lower(text), '\b(?:um|uh|er|you know|i mean)\b')) n_fillers,
-  len(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)')) n_sentences from documents where text is not null""")
-def doc_sentences(spark, d):
-    c = F.col("text")
-    return docs(spark, d).where("text is not null").select(
-        "doc_id", (T.phrase_count(c, L.BOILERPLATE) > 0).alias("boilerplate"), F.regexp_count(F.lower(c), F.lit(r"\b(?:um|uh|er|you know|i mean)\b")).alias("n_fillers"),
-        F.regexp_count(c, F.lit(r"[^.!?]+(?:[.!?]+|$)")).alias("n_sentences"),
-    )
-
-
 @query(rf"""select doc_id, len(regexp_extract_all(text, '{T.EMAIL}')) n_email, len(regexp_extract_all(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.PHONE}')) n_phone,
   sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.PHONE}', '[PHONE]', 'g')) redacted_sha from documents where text is not null""")
 def doc_redaction(spark, d):

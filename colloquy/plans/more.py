@@ -5,60 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colloquy.functions import lexicons as L
-from colloquy.functions import text as T
 from colloquy.operators import labels as O
 from colloquy.plans import documents as D
 from colloquy.plans import labels as LB
+from colloquy.plans import signals as SG
 from colloquy.plans.registry import Registry
 from colloquy.runtime import norm_key, read_table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-#: Rules of the signal baseline, in order of precedence.
-SIGNALS = [
-    ("guidance_revision", r"\blowering\b|\braising\b|\bmaintaining\b|\bnow expect\b"),
-    ("analyst_pressure", r"\?|\bhelp us understand\b|\bpress a bit\b"),
-    ("commitment", r"\bremain committed\b|\btargeting\b"),
-    ("uncertainty", r"\btoo early\b|\bvolatility\b|\bcould take\b|\bprobably\b"),
-]
-_RULE = "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in SIGNALS) + " else 'neutral' end"
-_TEXTS = f"""texts as (select gold_label_id, {LB._TIDY.format("list_filter(labels, lambda x: trim(x) <> '')[1]")} truth, text from (select *, row_number() over (partition by gold_label_id order by chunk_id) k from gold_labels)
-  where k = 1 and text is not null and len(list_filter(labels, lambda x: trim(x) <> '')) > 0)"""
-
-
-def texts(spark, d):
-    g = read_table(spark, d, "gold_labels").dropDuplicates(["gold_label_id"]).withColumn("l", F.filter("labels", lambda x: F.trim(x) != ""))
-    return g.where("text is not null and size(l) > 0").select("gold_label_id", LB.tidy(F.get("l", 0)).alias("truth"), "text")
-
-
-def signal(c):
-    out = F.lit("neutral")
-    for name, pattern in reversed(SIGNALS):
-        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
-    return out
-
-
-@query(f"with {_TEXTS} select gold_label_id, truth, {_RULE} predicted from texts")
-def signal_rules(spark, d):
-    return texts(spark, d).select("gold_label_id", "truth", signal(F.col("text")).alias("predicted"))
-
-
-@query(f"""with {_TEXTS}, ev as (select truth, {_RULE} predicted from texts), l as (select unnest({list(LB.NAMES)}) label), c as (
-  select label, count(*) filter (where truth = label and predicted = label) tp, count(*) filter (where truth <> label and predicted = label) fp, count(*) filter (where truth = label and predicted <> label) fn
-  from l cross join ev where truth in {LB._NAMES} group by label), m as (select *, coalesce(tp / nullif(tp + fp, 0), 0) p, coalesce(tp / nullif(tp + fn, 0), 0) r from c)
-select label, tp, fp, fn, tp + fn support, round(p, 4) as precision, round(r, 4) recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 4) f1 from m""")
-def signal_rules_prf(spark, d):
-    return O.precision_recall(signal_rules(spark, d), "truth", "predicted", LB.NAMES)
-
-
 @query()
 def text_classifier_prf(spark, d):
     """Held-out figures of TF-IDF with logistic regression."""
     from colloquy.operators.classify import holdout_predictions
 
-    p = holdout_predictions(texts(spark, d), row_id="gold_label_id", text="text", label="truth")
+    p = holdout_predictions(SG.texts(spark, d), row_id="gold_label_id", text="text", label="truth")
     return O.precision_recall(p, "truth", "predicted", LB.NAMES)
 
 
@@ -120,20 +82,6 @@ def chronological_fit(spark, d):
     )
 
 
-_LONG = r"select doc_id, lower(coalesce(text, '')) t, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+')) n from documents"
-
-
-@query(rf"""with k as ({_LONG}) select doc_id, case when n = 0 then 'empty' when {D._ANY('t', L.BOILERPLATE)} then 'boilerplate' when n < 7 then 'short' when regexp_matches(t, '\b(?:was|were|declined|finished)\b') and not regexp_matches(t, '\b(?:expect|outlook|target|will)') then 'historical' else 'keep' end reason from k""")
-def doc_suppression(spark, d):
-    """The first rule that suppresses a text."""
-    c = F.coalesce("text", F.lit(""))
-    t = F.lower(c)
-    n = F.regexp_count(c, F.lit(r"[^ \t\n\r\f]+"))
-    past = t.rlike(r"\b(?:was|were|declined|finished)\b") & ~t.rlike(r"\b(?:expect|outlook|target|will)")
-    r = F.when(n == 0, "empty").when(T.phrase_count(c, L.BOILERPLATE) > 0, "boilerplate").when(n < 7, "short").when(past, "historical").otherwise("keep")
-    return D.docs(spark, d).select("doc_id", r.alias("reason"))
-
-
 @query("""with p as (select lower(trim(case_id)) case_id, person_role, count(*) n from participants group by all), s as (select lower(trim(case_id)) case_id, count(distinct message_index) n_messages from transcript_segments group by 1)
 select case_id, coalesce(max(case when person_role = 'analyst' then n end), 0) n_analysts, coalesce(max(case when person_role = 'management' then n end), 0) n_management, any_value(n_messages) n_messages from p left join s using (case_id) group by case_id""")
 def roster_pivot(spark, d):

@@ -19,6 +19,3 @@ class Registry:
 
         return add
 
-
-def sql_list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"

@@ -28,17 +28,6 @@ def tone_change(spark, d):
     return t.select("event_id", "mean", "std", "z", "is_change")
 
 
-@query("""with t as (select user_id, avg((value < 20)::int) neg, avg(case when value < 20 then (20 - value) / 20 else 0 end) conf, stddev_samp(value) / 100 vol from events group by user_id)
-select user_id, cast(least(100, greatest(0, round_even(60 * neg + 30 * conf + 20 * least(coalesce(vol, 0) / 0.35, 1), 0))) as int) risk from t""")
-def risk_score(spark, d):
-    low = F.col("value") < 20
-    t = events(spark, d).groupBy("user_id").agg(
-        F.avg(low.cast("int")).alias("neg"), F.avg(F.when(low, (20 - F.col("value")) / 20).otherwise(0.0)).alias("conf"), (F.stddev_samp("value") / 100).alias("vol")
-    )
-    raw = 60 * F.col("neg") + 30 * F.col("conf") + 20 * F.least(F.coalesce("vol", F.lit(0.0)) / 0.35, F.lit(1.0))
-    return t.select("user_id", F.least(F.lit(100), F.greatest(F.lit(0), F.bround(raw, 0).cast("int"))).alias("risk"))
-
-
 @query("""with t as (select *, case when (value < 30) is not distinct from lag(value < 30) over w then 0 else 1 end nw from events window w as (partition by user_id order by ts, event_id)),
 r as (select *, sum(nw) over (partition by user_id order by ts, event_id) run from t)
 select user_id, cast(run as bigint) run, count(*) n_events, min(event_id) first_event from r where value < 30 group by user_id, run""")
