@@ -192,7 +192,7 @@ def habit_consensus(votes: DataFrame, rel: DataFrame, *, min_annotators: int = 3
     votes = checkpoint(_weighed(votes.select("item", "annotator", "label").distinct(), rel))
     freq = votes.groupBy(F.col("label").alias("truth")).agg(F.log(F.first("p")).alias("prior"))
     voted = votes.groupBy("item", F.col("label").alias("truth")).agg(F.count(F.lit(1)).alias("n"))
-    cell, item = ["annotator", "label", "truth"], Window.partitionBy("item")
+    cell, item, each = ["annotator", "label", "truth"], Window.partitionBy("item"), Window.partitionBy("item", "truth")
 
     def readings(candidates: DataFrame) -> DataFrame:
         """Every vote under every candidate of its item, with its chance by the one reliability."""
@@ -200,24 +200,23 @@ def habit_consensus(votes: DataFrame, rel: DataFrame, *, min_annotators: int = 3
         read = votes.join(candidates, "item").join(freq, "truth")
         return read.select("item", "annotator", "label", "truth", "n", "prior", base.alias("q"))
 
-    def scores(logs: DataFrame) -> DataFrame:
-        return logs.groupBy("item", "truth").agg((F.sum("l") + F.first("prior")).alias("s"), F.first("n").alias("n"))
-
-    def cells(read: DataFrame, logs: DataFrame) -> DataFrame:
+    def cells(logs: DataFrame) -> DataFrame:
         """(annotator, label, truth, c, q): how often each label was given for each truth."""
-        x = scores(logs).withColumn("x", F.exp(F.col("s") - F.max("s").over(item)))
-        chance = x.select("item", "truth", (F.col("x") / F.sum("x").over(item)).alias("c"))
-        return checkpoint(read.join(chance, ["item", "truth"]).groupBy(*cell).agg(F.sum("c").alias("c"), F.first("q").alias("q")))
+        x = logs.withColumns({"s": F.sum("l").over(each) + F.col("prior"), "k": F.count(F.lit(1)).over(each)})
+        x = x.withColumn("x", F.exp(F.col("s") - F.max("s").over(item)))
+        # an item's candidates have a row for each of its k votes
+        chance = F.col("x") * F.col("k") / F.sum("x").over(item)
+        return checkpoint(x.withColumn("c", chance).groupBy(*cell).agg(F.sum("c").alias("c"), F.first("q").alias("q")))
 
     first_logs = lambda read: read.withColumn("l", F.log(F.greatest("q", F.lit(1e-6))))
-    read = readings(voted)
-    taken = cells(read, first_logs(read)).groupBy("label", "truth").agg(F.sum("c").alias("c"))
+    taken = cells(first_logs(readings(voted))).groupBy("label", "truth").agg(F.sum("c").alias("c"))
     taken = taken.withColumn("all", F.sum("c").over(Window.partitionBy("label"))).where(F.col("c") >= COMMON * F.col("all"))
     implied = voted.withColumnRenamed("truth", "label").join(taken.select("label", "truth"), "label").select("item", "truth", F.lit(0).cast("long").alias("n"))
     read = checkpoint(readings(voted.unionByName(implied).groupBy("item", "truth").agg(F.max("n").alias("n"))))
     logs = first_logs(read)
     for _ in range(REFINEMENTS):
-        seen = cells(read, logs).withColumn("all", F.sum("c").over(Window.partitionBy("annotator", "truth")))
+        seen = cells(logs).withColumn("all", F.sum("c").over(Window.partitionBy("annotator", "truth")))
         habit = seen.select(*cell, F.log(F.greatest((F.col("c") + SMOOTHING * F.col("q")) / (F.col("all") + SMOOTHING), F.lit(1e-6))).alias("l"))
-        logs = salted_join(read.drop("q"), habit, cell)
-    return _decide(scores(logs).withColumnRenamed("truth", "label"), min_annotators)
+        logs = read.join(habit, cell)
+    scores = logs.groupBy("item", "truth").agg((F.sum("l") + F.first("prior")).alias("s"), F.first("n").alias("n"))
+    return _decide(scores.withColumnRenamed("truth", "label"), min_annotators)
