@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.operators.series import ordered_scan
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -46,26 +48,24 @@ def packed(c: Column, size: int = 1800, overlap: int = 200) -> Column:
 
 
 def pack_time(segments: DataFrame, *, key: str, seconds: float = 30.0) -> DataFrame:
-    """Greedy chunks of consecutive segments while they end within ``seconds`` of the chunk's start.
+    """(key, chunk_no, start, end, n): greedy chunks of consecutive segments while they end within ``seconds``
+    of the chunk's start.
 
-    segments: (key, ord, start, end). Sequential by nature; only times go through Python."""
+    segments: (key, ord, start, end). Rows without a time are left out."""
     types = dict(segments.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, first, n, last = [], None, 0, 0.0
-        for s, e in pdf.sort_values("ord")[["start", "end"]].itertuples(index=False):
-            if first is not None and e - first > seconds:
-                out.append((pdf[key].iloc[0], len(out), first, last, n))
-                first, n = None, 0
-            if first is None:
-                first = s
-            n, last = n + 1, e
-        if first is not None:
-            out.append((pdf[key].iloc[0], len(out), first, last, n))
-        return pd.DataFrame(out, columns=[key, "chunk_no", "start", "end", "n"])
-
-    rows = segments.select(key, "ord", "start", "end").where("start is not null and `end` is not null")
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {types[key]}, chunk_no int, start double, end double, n int")
+    def step(state, row):
+        k, no, first, last, n = state or (None, 0, None, 0.0, 0)
+        done = [(k, no, first, last, n)]
+        if row is None:
+            return None, done if n else []
+        _, _, s, e = row
+        if n and e - first > seconds:
+            return (row[0], no + 1, s, e, 1), done
+        return (row[0], no, s if first is None else first, e, n + 1), []
+
+    rows = segments.select(key, "ord", "start", "end").where(f"`{key}` is not null and start is not null and `end` is not null")
+    return ordered_scan(rows, [key], ["ord"], step, f"`{key}` {types[key]}, chunk_no int, start double, end double, n int")
 
 
 def similarity(a: Column, b: Column) -> Column:

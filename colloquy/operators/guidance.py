@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,34 +58,50 @@ def match_prior(rows: DataFrame, *, key: str, threshold: float = 0.75) -> DataFr
 
     rows: (key, period_no, rid, topic, period, sig). In order of rid each current row takes the
     unused prior row with the best number overlap plus bonuses for topic (.35, .175 for other)
-    and period (.2, .1 for Unknown); the first of equal ones; matched from ``threshold`` on.
-    Sequential by nature: each (key, period) with its prior rows goes through Python, which is
-    bounded by the statements of one entity in two periods.
+    and period (.2, .1 for Unknown); the first of equal ones; matched from ``threshold`` on, which
+    must be above what topic and period give together. Sequential by nature: each (key, period)
+    with its prior rows goes through Python, where numbers are looked up, so that only rows
+    which share one are compared; it holds the statements of one entity in two periods.
     """
+    if threshold <= 0.55:
+        raise ValueError("the threshold must need a shared number")
     cur = rows.withColumn("grp", F.col("period_no")).withColumn("side", F.lit("current"))
     pri = rows.withColumn("grp", F.col("period_no") + 1).withColumn("side", F.lit("prior"))
     types = dict(rows.dtypes)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         prior = pdf[pdf.side == "prior"].sort_values("rid").to_dict("records")
-        used: set = set()
+        sigs = [frozenset(p["sig"] if p["sig"] is not None else []) for p in prior]
+        having: dict[float, list[int]] = {}  # a match needs a shared number
+        for i, g in enumerate(sigs):
+            for x in g:
+                having.setdefault(x, []).append(i)
+        free = Counter((p["topic"], p["period"]) for p in prior)
+        topics, periods = Counter(p["topic"] for p in prior), Counter(p["period"] for p in prior)
+        used: set[int] = set()
         out = []
         for c in pdf[pdf.side == "current"].sort_values("rid").to_dict("records"):
+            a = frozenset(c["sig"] if c["sig"] is not None else [])
+            by_topic, by_period = (0.175 if c["topic"] == "other" else 0.35), (0.1 if c["period"] == "Unknown" else 0.2)
             best, at = 0.0, None
-            a = set(c["sig"] if c["sig"] is not None else [])
-            for i, p in enumerate(prior):
-                if i in used:
-                    continue
-                b = set(p["sig"] if p["sig"] is not None else [])
-                s = len(a & b) / len(a | b) if a and b else 0.0
-                s += (0.175 if c["topic"] == "other" else 0.35) if c["topic"] == p["topic"] else 0.0
-                s += (0.1 if c["period"] == "Unknown" else 0.2) if c["period"] == p["period"] else 0.0
+            for i in sorted({i for x in a for i in having.get(x, ()) if i not in used}):
+                p, b = prior[i], sigs[i]
+                s = len(a & b) / len(a | b) + (by_topic if c["topic"] == p["topic"] else 0.0) + (by_period if c["period"] == p["period"] else 0.0)
                 if s > best:
                     best, at = s, i
-            hit = at is not None and best >= threshold
+            # what those without a shared number reach
+            if free[c["topic"], c["period"]]:
+                rest = by_topic + by_period
+            else:
+                rest = max(by_topic if topics[c["topic"]] else 0.0, by_period if periods[c["period"]] else 0.0)
+            hit = at is not None and best >= threshold and best >= rest
             if hit:
                 used.add(at)
-            out.append((c[key], c["rid"], prior[at]["rid"] if hit else None, round(best, 4), hit))
+                p = prior[at]
+                free[p["topic"], p["period"]] -= 1
+                topics[p["topic"]] -= 1
+                periods[p["period"]] -= 1
+            out.append((c[key], c["rid"], prior[at]["rid"] if hit else None, round(max(best, rest), 6), hit))
         return pd.DataFrame(out, columns=[key, "rid", "prior_rid", "score", "matched"]).astype({"prior_rid": "Int64"})
 
     return cur.unionByName(pri).groupBy(key, "grp").applyInPandas(greedy, f"`{key}` {types[key]}, rid long, prior_rid long, score double, matched boolean")

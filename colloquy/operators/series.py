@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def tone_changes(df: DataFrame, *, key: str, order: list[str], value: str, threshold: float, window: int = 5) -> DataFrame:
@@ -55,21 +59,54 @@ def overlaps(left: DataFrame, right: DataFrame, *, key: str, width: float) -> Da
     return j.select(key, "lid", "rid", (F.least("le", "re") - F.greatest("ls", "rs")).alias("overlap"))
 
 
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """One ordered pass over the rows of each key, for what needs the rows before it.
+
+    ``step(state, row)`` gets the state of the key so far (None at first) and a tuple of the columns,
+    and returns the new state and a list of output rows; with row None the key has ended. Rows
+    stream through in Arrow batches, so that a task holds one state and never the rows of a key."""
+    names = df.columns
+    at = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                now = tuple(row[i] for i in at)
+                if now != key:
+                    if key is not None:
+                        out += step(state, None)[1]
+                    key, state = now, None
+                state, rows = step(state, row)
+                out += rows
+            if len(out) > 10_000:
+                yield from _rows(out)
+                out = []
+        if key is not None:
+            out += step(state, None)[1]
+        yield from _rows(out)
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def thin(df: DataFrame, *, key: str, time: str, gap: float) -> DataFrame:
-    """Rows of a key kept when at least ``gap`` after the last kept one. Sequential by nature:
-    each key's times alone go through Python, in order."""
+    """(key, time): the times of a key kept when at least ``gap`` after the last kept one, in order.
+    Null keys and times take no part."""
     rows = df.select(key, time).where(F.col(time).isNotNull() & F.col(key).isNotNull())
     types = dict(rows.dtypes)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for i, t in enumerate(sorted(pdf[time])):
-            if last is None or t - last >= gap:
-                out.append(t)
-                last = t
-        return pd.DataFrame({key: pdf[key].iloc[0], time: out})
+    def step(last, row):
+        if row is None or last is not None and row[1] - last < gap:
+            return last, []
+        return row[1], [row]
 
-    return rows.groupBy(key).applyInPandas(keep, f"`{key}` {types[key]}, `{time}` {types[time]}")
+    return ordered_scan(rows, [key], [time], step, f"`{key}` {types[key]}, `{time}` {types[time]}")
 
 
 def window_means(anchors: DataFrame, chunks: DataFrame, *, key: str, before: float, after: float) -> DataFrame:
@@ -86,4 +123,5 @@ def window_means(anchors: DataFrame, chunks: DataFrame, *, key: str, before: flo
         F.avg(F.when(F.col("lid").startswith("b"), F.col("score"))).alias("before"), F.avg(F.when(F.col("lid").startswith("a"), F.col("score"))).alias("after")
     )
     out = anchors.withColumn("aid", F.col("aid").cast("string")).join(m, [key, "aid"], "left")
-    return out.select(key, "aid", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(F.col("after") - F.col("before"), 6).alias("shift"))
+    fine = lambda c: F.round(F.round(c, 9), 6)  # noqa: E731  (sums differ in their last digits by order)
+    return out.select(key, "aid", fine(F.col("before")).alias("before"), fine(F.col("after")).alias("after"), fine(F.col("after") - F.col("before")).alias("shift"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
@@ -30,69 +30,70 @@ def _minus(found: Column, generic: list[str]) -> Column:
     return F.filter(found, lambda t: ~t.isin(generic))
 
 
-def family_terms(low: Column, t: Column, lexicon: dict[str, list[str]] | None = None) -> tuple[list[Column], list[Column]]:
-    """(terms of the three families after suppression of generic ones, terms of the finance lexicon of each).
+def with_weak_family(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = None, to: str = "w") -> DataFrame:
+    """Adds ``to``, a struct (label, confidence, risk, opportunity, uncertainty, evidence) of the text's signal family.
 
-    lexicon: negative, positive, uncertainty, litigious, modal and constraining words, none by default."""
+    Guidance language decides first, with a score of 3 and a confidence of 0.75. Else the score of a
+    family is twice its terms plus those of the finance lexicon (negative, positive, uncertainty,
+    litigious, modal and constraining words, none by default); generic terms count only in their
+    contexts; risk wins ties, then opportunity; nothing found is neutral with confidence 0. Null is
+    empty text. Built in steps, so that no step repeats another's work."""
+    keep = df.columns
+    low, t, none = F.col("_low"), F.col("_t"), F.array().cast(NONE)
+    s = df.withColumns({"_low": F.lower(F.coalesce(F.col(text), F.lit(""))), "_t": T.plain(F.col(text))})
     fin = lexicon_terms(t, lexicon or {})
-    pick = lambda *ks: F.slice(F.array_distinct(F.concat(F.array().cast(NONE), *(fin[k] for k in ks if k in fin))), 1, 8)
-    extra = [pick("negative", "litigious", "constraining"), pick("positive"), pick("uncertainty", "modal")]
-    risk, chance, doubt = (F.array_distinct(F.concat(T.terms_in(t, w), x)) for w, x in zip((L.RISK_TERMS, L.OPPORTUNITY_TERMS, L.UNCERTAINTY_TERMS), extra))
-    strong_chance = reduce(lambda a, b: a | b, (T.term_in(t, w) for w in L.STRONG_OPPORTUNITY))
-    strong_risk = reduce(lambda a, b: a | b, (T.term_in(t, w) for w in L.STRONG_RISK))
-    conditional = T.any_pattern(low, L.CONDITIONAL) & ~strong_chance
-    status = T.any_pattern(low, L.NEUTRAL_STATUS) & ~strong_risk
-    deflects = low.contains("please check the help center") | low.contains("please refer")
-    chance = F.when(conditional | (status & ~strong_chance), _minus(chance, L.GENERIC_OPPORTUNITY)).otherwise(chance)
-    doubt = F.when(conditional, F.array_distinct(F.concat(doubt, T.lits(["conditional_language"])))).otherwise(doubt)
-    risk = F.when(status, _minus(risk, L.GENERIC_RISK)).otherwise(risk)
-    risk = F.when(deflects, F.array_distinct(F.concat(risk, T.lits(["support_deflection"])))).otherwise(risk)
-    doubt = F.when(deflects, _minus(doubt, ["for now"])).otherwise(doubt)
-    return [risk, chance, doubt], extra
-
-
-def weak_family(low: Column, t: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """Struct (label, confidence, risk, opportunity, uncertainty, evidence) of a text's signal family.
-
-    low: the text in lower case, null as empty; t: the plain text (see functions.text).
-
-    Guidance language decides first, with a score of 3 and a confidence of 0.75. Else the score of
-    a family is twice its terms plus those of the finance lexicon; risk wins ties, then
-    opportunity; nothing found is neutral with confidence 0."""
-    terms, extra = family_terms(low, t, lexicon)
-    over = guidance_override(low)
-    pts = [2 * F.size(t) + F.size(x) for t, x in zip(terms, extra)]
-    best = F.greatest(*pts)
-    i = F.when(pts[0] == best, 0).when(pts[1] == best, 1).otherwise(2)
-    label = F.when(best == 0, "neutral").otherwise(F.element_at(T.lits(L.FAMILIES), i + 1))
-    found = F.when(best == 0, F.array().cast(NONE)).otherwise(F.element_at(F.array(*terms), i + 1))
+    pick = lambda *ks: F.slice(F.array_distinct(F.concat(none, *(fin[k] for k in ks if k in fin))), 1, 8)
+    any_in = lambda words: reduce(lambda a, b: a | b, (T.term_in(t, w) for w in words))
+    s = s.withColumns({
+        "_r": T.terms_in(t, L.RISK_TERMS), "_o": T.terms_in(t, L.OPPORTUNITY_TERMS), "_u": T.terms_in(t, L.UNCERTAINTY_TERMS), "_fr": pick("negative", "litigious", "constraining"),
+        "_fo": pick("positive"), "_fu": pick("uncertainty", "modal"), "_so": any_in(L.STRONG_OPPORTUNITY), "_sr": any_in(L.STRONG_RISK), "_cond": T.any_pattern(low, L.CONDITIONAL),
+        "_neutral": T.any_pattern(low, L.NEUTRAL_STATUS), "_def": low.contains("please check the help center") | low.contains("please refer"), "_over": guidance_override(low),
+    })
+    s = s.withColumns({"_cond": F.col("_cond") & ~F.col("_so"), "_status": F.col("_neutral") & ~F.col("_sr"), **{f"_{k}": F.array_distinct(F.concat(f"_{k}", f"_f{k}")) for k in "rou"}})
+    drop = lambda c, words: F.filter(c, lambda x: ~x.isin(words))
+    s = s.withColumns({
+        "_r": F.when(F.col("_status"), drop("_r", L.GENERIC_RISK)).otherwise(F.col("_r")),
+        "_o": F.when(F.col("_cond") | (F.col("_status") & ~F.col("_so")), drop("_o", L.GENERIC_OPPORTUNITY)).otherwise(F.col("_o")),
+        "_u": F.when(F.col("_cond"), F.array_distinct(F.concat("_u", T.lits(["conditional_language"])))).otherwise(F.col("_u")),
+    })
+    s = s.withColumns({
+        "_r": F.when(F.col("_def"), F.array_distinct(F.concat("_r", T.lits(["support_deflection"])))).otherwise(F.col("_r")),
+        "_u": F.when(F.col("_def"), drop("_u", ["for now"])).otherwise(F.col("_u")),
+    })
+    s = s.withColumns({f"_p{k}": 2 * F.size(f"_{k}") + F.size(f"_f{k}") for k in "rou"}).withColumn("_best", F.greatest("_pr", "_po", "_pu"))
+    best, over = F.col("_best"), F.col("_over")
+    s = s.withColumn("_i", F.when(best == 0, 4).when(F.col("_pr") == best, 1).when(F.col("_po") == best, 2).otherwise(3))
     given = over.isNotNull()
-    score = [F.when(given, F.when(over["label"] == f, 3).otherwise(0)).otherwise(p) for f, p in zip(L.FAMILIES, pts)]
-    return F.struct(
-        F.when(given, over["label"]).otherwise(label).alias("label"),
+    score = lambda k, f: F.when(given, F.when(over["label"] == f, 3).otherwise(0)).otherwise(F.col(f"_p{k}"))
+    out = F.struct(
+        F.when(given, over["label"]).otherwise(F.element_at(T.lits(L.FAMILIES), F.col("_i"))).alias("label"),
         F.when(given, 0.75).otherwise(F.round(F.least(F.lit(0.95), best / 6), 4)).alias("confidence"),
-        *(s.alias(n) for s, n in zip(score, ("risk", "opportunity", "uncertainty"))),
-        F.when(given, F.array(over["term"])).otherwise(found).alias("evidence"),
-    )
+        score("r", L.FAMILIES[0]).alias("risk"), score("o", L.FAMILIES[1]).alias("opportunity"), score("u", L.FAMILIES[2]).alias("uncertainty"),
+        F.when(given, F.array(over["term"])).otherwise(F.element_at(F.array("_r", "_o", "_u", none), F.col("_i"))).alias("evidence"),
+    )
+    return s.select(*keep, out.alias(to))
 
 
-def emotion(c: Column, labels: list[str] | None = None) -> Column:
-    """Struct (label, confidence) by weighted keywords: the highest score, then the most keywords, then neutral and the order of emotions."""
-    t = T.compact(F.coalesce(c, F.lit("")))
-    padded = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" "))
-    has = lambda k: t.contains(k) if " " in k else padded.contains(f" {k} ")
+def with_emotion(df: DataFrame, text: str, labels: list[str] | None = None, to: str = "emotion") -> DataFrame:
+    """Adds ``to``, a struct (label, confidence) by weighted keywords: the highest score, then the most keywords, then
+    neutral and the order of emotions. ``labels`` restricts the emotions; null is empty text."""
     allowed = [e for e in L.EMOTIONS if labels is None or e in labels]
     if not allowed:
         raise ValueError("no known emotion among the labels")
-    score = {e: reduce(lambda a, b: a + b, (F.when(has(k), w).otherwise(0.0) for k, w in L.EMOTIONS[e])) for e in allowed}
-    count = {e: reduce(lambda a, b: a + b, (has(k).cast("int") for k, _ in L.EMOTIONS[e])) for e in allowed}
+    keep = df.columns
+    s = df.withColumn("_t", T.compact(F.coalesce(F.col(text), F.lit(""))))
+    s = s.withColumn("_pad", F.concat(F.lit(" "), F.regexp_replace("_t", "[^a-z0-9]+", " "), F.lit(" ")))
+    has = lambda k: F.col("_t").contains(k) if " " in k else F.col("_pad").contains(f" {k} ")
+    add = lambda cells: reduce(lambda a, b: a + b, cells)
     first = "neutral" if "neutral" in allowed else allowed[0]
     order = [first, *(e for e in L.EMOTION_ORDER if e in allowed and e != first)]
-    best = F.array_max(F.array(*(F.struct(score[e].alias("s"), count[e].alias("n"), F.lit(-i).alias("o"), F.lit(e).alias("e")) for i, e in enumerate(order))))
-    total = reduce(lambda a, b: a + b, (score[e] for e in allowed))
-    sure = F.round(F.greatest(F.lit(0.55), F.least(F.lit(0.95), best["s"] / total + 0.03 * best["n"])), 4)
-    none = F.when(t == "", 0.35).otherwise(0.42 if first == "neutral" else 0.34)
-    return F.struct(F.when(best["s"] > 0, best["e"]).otherwise(first).alias("label"), F.when(best["s"] > 0, sure).otherwise(none).alias("confidence"))
+    cell = lambda e: F.struct(add(F.when(has(k), w).otherwise(0.0) for k, w in L.EMOTIONS[e]).alias("s"), add(has(k).cast("int") for k, _ in L.EMOTIONS[e]).alias("n"), F.lit(-order.index(e)).alias("o"), F.lit(e).alias("e"))
+    s = s.withColumn("_c", F.array(*(cell(e) for e in allowed)))
+    s = s.withColumns({"_b": F.array_max("_c"), "_total": F.aggregate("_c", F.lit(0.0), lambda x, y: x + y["s"])})
+    b = F.col("_b")
+    sure = F.round(F.greatest(F.lit(0.55), F.least(F.lit(0.95), b["s"] / F.col("_total") + 0.03 * b["n"])), 4)
+    none = F.when(F.col("_t") == "", 0.35).otherwise(0.42 if first == "neutral" else 0.34)
+    return s.select(*keep, F.struct(F.when(b["s"] > 0, b["e"]).otherwise(first).alias("label"), F.when(b["s"] > 0, sure).otherwise(none).alias("confidence")).alias(to))
 
 
 def candidate(c: Column, section: Column, topic: Column, object_type: Column) -> Column:

@@ -195,15 +195,15 @@ g as (select conv, coalesce(round(avg(signed) filter (where phase <> 'q_and_a'),
   coalesce(round(avg(signed) filter (where ans and r <= half), 9), 0) + 0e0 e, coalesce(round(avg(signed) filter (where ans and r > half), 9), 0) + 0e0 l,
   count(*) filter (where phase <> 'q_and_a') n_prepared, count(*) filter (where phase = 'q_and_a') n_q_and_a, count(*) filter (where phase = 'q_and_a' and speaker = 'analyst') n_questions, count(*) filter (where ans) n_answers from r group by conv),
 h as (select *, round(q - p, 9) + 0e0 d, case when n_answers >= 2 then round(l - e, 9) + 0e0 else 0 end k from g)
-select conv, round(p, 4) prepared_mean, round(q, 4) q_and_a_mean, round(d, 4) delta, case when round(d, 9) >= 0.08 then 'stronger' when round(d, 9) <= -0.08 then 'weaker' else 'mixed' end as label,
-  round(k, 4) late_delta, case when round(k, 9) >= 0.06 then 'stronger' when round(k, 9) <= -0.06 then 'weaker' else 'mixed' end late_label, n_prepared, n_q_and_a, n_questions, n_answers from h""")
+select conv, {X.exact('p')} prepared_mean, {X.exact('q')} q_and_a_mean, {X.exact('d')} delta, case when round(d, 9) >= 0.08 then 'stronger' when round(d, 9) <= -0.08 then 'weaker' else 'mixed' end as label,
+  {X.exact('k')} late_delta, case when round(k, 9) >= 0.06 then 'stronger' when round(k, 9) <= -0.06 then 'weaker' else 'mixed' end late_label, n_prepared, n_q_and_a, n_questions, n_answers from h""")
 def conv_phase_shifts(spark, d):
     """Tone of prepared remarks against questions and answers, and of early against late answers."""
     return B.phase_shifts(_phased(spark, d))
 
 
 @query(f"""with {_PHASED}, g as (select conv, pair_id, avg(signed) filter (where speaker = 'management') a, max(signed) filter (where speaker = 'analyst') q, max(case when speaker = 'analyst' then turn end) question_turn
-  from phased where phase = 'q_and_a' group by 1, 2) select conv, cast(pair_id as bigint) pair_id, question_turn, round(round(a - q, 9), 4) + 0e0 answer_minus_question from g where a is not null and q is not null""")
+  from phased where phase = 'q_and_a' group by 1, 2) select conv, cast(pair_id as bigint) pair_id, question_turn, {X.exact('a - q')} + 0e0 answer_minus_question from g where a is not null and q is not null""")
 def conv_pair_shifts(spark, d):
     return B.pair_shifts(_phased(spark, d))
 

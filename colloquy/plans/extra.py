@@ -11,7 +11,9 @@ from colloquy.operators import chunking as K
 from colloquy.operators import guidance as G
 from colloquy.operators import validate as V
 from colloquy.plans.common import TURNS, turns
+from colloquy.plans import sqltext as X
 from colloquy.plans.documents import docs
+from colloquy.plans.signals import _PERIOD
 from colloquy.plans.registry import Registry
 from colloquy.runtime import norm_key, read_table
 
@@ -33,23 +35,33 @@ def _statements(spark, d):
     ).where("period_no is not null and rid is not null")
 
 
-@query()
+_SIG = "list_sort(list_distinct(list_transform(n, lambda v: case when v = 0 then 0 else round(v / pow(10e0, floor(log10(abs(v))) - 2)) * pow(10e0, floor(log10(abs(v))) - 2) end)))"
+_MATCHES = rf"""t0 as (select distinct label_row_id rid, evidence_text as text, regexp_extract(lower(trim(call_id)), '^([^_]+)_([0-9]{{4}})q([1-4])_', ['e', 'y', 'q']) x from labels where evidence_text is not null and label_row_id is not null and regexp_matches(lower(trim(call_id)), '^[^_]+_[0-9]{{4}}q[1-4]_')),
+t1 as (select rid, x.e entity, x.y::int * 4 + x.q::int no, {X.topic('lower(text)', L.TOPICS, 'other')} topic, {_PERIOD} period, {_NUM.format('text')} n,
+  regexp_extract(lower(text), '(-?[0-9]+(?:\.[0-9]+)?)\s*(?:to|–|-)\s*(-?[0-9]+(?:\.[0-9]+)?)', ['a', 'b']) ran, regexp_extract(lower(text), 'between\s+(-?[0-9]+(?:\.[0-9]+)?)\s+and\s+(-?[0-9]+(?:\.[0-9]+)?)', ['a', 'b']) btw from t0),
+t2 as (select *, list_transform({_SIG}, lambda v: round(v, 6)) sig, round(coalesce((try_cast(btw.a as double) + try_cast(btw.b as double)) / 2, (try_cast(ran.a as double) + try_cast(ran.b as double)) / 2, n[1]), 6) mid,
+  row_number() over (partition by entity, no order by rid) r from t1),
+pr as (select c.rid, list({{'s': case when len(c.sig) > 0 and len(p.sig) > 0 then len(list_intersect(c.sig, p.sig)) / len(list_distinct(c.sig || p.sig)) else 0e0 end
+  + case when c.topic <> p.topic then 0e0 when c.topic = 'other' then 0.175e0 else 0.35e0 end + case when c.period <> p.period then 0e0 when c.period = 'Unknown' then 0.1e0 else 0.2e0 end, 'o': -p.r, 'rid': p.rid}}) cands
+  from t2 c join t2 p on p.entity = c.entity and p.no = c.no - 1 group by c.rid),
+cu as (select t2.entity, t2.no, t2.r, t2.rid, coalesce(cands, []) cands from t2 left join pr using (rid)),
+wk as (select entity, no, r, rid, list_reverse_sort(cands)[1] b, case when list_reverse_sort(cands)[1].s >= 0.75 then [list_reverse_sort(cands)[1].rid] else []::bigint[] end used from cu where r = 1 union all
+  select z.entity, z.no, z.r, z.rid, z.b, case when z.b.s >= 0.75 then z.used || [z.b.rid] else z.used end from (
+    select cu.entity, cu.no, cu.r, cu.rid, list_reverse_sort(list_filter(cu.cands, lambda k: not list_contains(wk.used, k.rid)))[1] b, wk.used from wk join cu on cu.entity = wk.entity and cu.no = wk.no and cu.r = wk.r + 1) z),
+matches as (select entity, rid, case when b.s >= 0.75 then b.rid end prior_rid, coalesce(round(b.s, 6), 0) score, coalesce(b.s >= 0.75, false) matched from wk)"""
+
+
+@query(f"with recursive {_MATCHES} select * from matches")
 def guidance_match(spark, d):
     s = _statements(spark, d)
     return G.match_prior(s.select("entity", "period_no", "rid", "topic", "period", G.signature(F.col("numbers")).alias("sig")), key="entity")
 
 
-@query(rf"""with l as (select distinct * from labels), t as (select label_row_id rid, regexp_extract(lower(trim(call_id)), '^([^_]+)_([0-9]{{4}})q([1-4])_', ['e', 'y', 'q']) x, {_NUM.format('evidence_text')} n,
-  regexp_extract(lower(evidence_text), '(-?[0-9]+(?:\.[0-9]+)?)\s*(?:to|–|-)\s*(-?[0-9]+(?:\.[0-9]+)?)', ['a', 'b']) ran,
-  regexp_extract(lower(evidence_text), 'between\s+(-?[0-9]+(?:\.[0-9]+)?)\s+and\s+(-?[0-9]+(?:\.[0-9]+)?)', ['a', 'b']) btw from l where evidence_text is not null and regexp_matches(lower(trim(call_id)), '^[^_]+_[0-9]{{4}}q[1-4]_')),
-m as (select *, round(coalesce((try_cast(btw.a as double) + try_cast(btw.b as double)) / 2, (try_cast(ran.a as double) + try_cast(ran.b as double)) / 2, n[1]), 6) mid from t),
-p as (select *, lag(n) over w pn, lag(mid) over w pm from m window w as (partition by x.e order by x.y::int * 4 + x.q::int, rid)),
-z as (select rid, mid - pm df, list_filter(list_transform(range(1, greatest(len(n), len(pn)) + 1), lambda i: n[i] - pn[i]), lambda v: v is not null) mv from p where pn is not null)
-select rid, case when len(list_filter(mv, lambda v: v > 0.05)) > 0 and len(list_filter(mv, lambda v: v < -0.05)) > 0 then 'mixed' when df is null then 'unclear' when df > 0.05 then 'raised' when df < -0.05 then 'lowered' else 'reaffirmed' end revision from z""")
+@query(f"""with recursive {_MATCHES}, z as (select m.rid, c.mid - p.mid df, list_filter(list_transform(range(1, greatest(len(c.n), len(p.n)) + 1), lambda i: c.n[i] - p.n[i]), lambda v: v is not null) mv
+  from matches m join t2 c on c.rid = m.rid left join t2 p on p.rid = m.prior_rid)
+select rid, case when df is null then 'unclear' when len(list_filter(mv, lambda v: v >= 0.05)) > 0 and len(list_filter(mv, lambda v: v <= -0.05)) > 0 then 'mixed' when df >= 0.05 then 'raised' when df <= -0.05 then 'lowered' else 'reaffirmed' end revision from z""")
 def guidance_revision(spark, d):
-    """Each statement against the one of the period before that it is matched with; unclear without one.
-
-    The SQL takes the statement before it in order of period and id instead."""
+    """Each statement against the one of the period before that it is matched with; unclear without one."""
     s = _statements(spark, d)
     m = G.match_prior(s.select("entity", "period_no", "rid", "topic", "period", G.signature(F.col("numbers")).alias("sig")), key="entity").select("rid", "prior_rid")
     m = m.join(s.select("rid", "numbers", "mid"), "rid")
@@ -86,7 +98,10 @@ def doc_sentence_chunks(spark, d):
     return t.select("doc_id", "chunk_no", "x.start", "x.end")
 
 
-@query()
+@query(f"""with recursive {TURNS.lstrip()}, o as (select conv, start_s s, end_s e, row_number() over (partition by conv order by turn) r from turns where start_s is not null and end_s is not null),
+w as (select conv, r, 0 no, s first, e last from o where r = 1 union all
+  select o.conv, o.r, case when o.e - w.first > 30 then w.no + 1 else w.no end, case when o.e - w.first > 30 then o.s else w.first end, o.e from w join o on o.conv = w.conv and o.r = w.r + 1)
+select conv, no chunk_no, first start, arg_max(last, r) "end", cast(count(*) as int) n from w group by conv, no, first""")
 def time_packed_chunks(spark, d):
     t = turns(spark, d).select("conv", F.col("turn").alias("ord"), F.col("start_s").alias("start"), F.col("end_s").alias("end"))
     return K.pack_time(t, key="conv")

@@ -114,28 +114,6 @@ def gold_append(spark, d):
     return O.append(weak(spark, d), gold(spark, d), "chunk_id")
 
 
-_SCORE = f"""with {_GOLD}, w as (select distinct * from weak_labels), r as (select weak_label_id, {_TIDY.format('label')} label, case when isnan(confidence) or confidence not between 0 and 1 then null else confidence end c from w),
-n as (select *, count(*) over (partition by label) freq from r),
-p as (select weak_label_id, case when c is null then 2 when c < 0.4 then 3 else 0 end + case when label is null then 3 else 0 end + case when freq <= 300 then 2 else 0 end + case when label = 'guidance_revision' then 1 else 0 end priority from n)"""
-
-
-@query(f"{_SCORE} select weak_label_id, priority, cast(row_number() over (order by priority desc, weak_label_id) as int) rank from p where priority > 0 order by rank limit 50")
-def active_learning(spark, d):
-    """Low or no confidence, votes of the chunk that disagree, labels of at most two rows, valuable labels: the 50 rows with most points.
-
-    The SQL gives points for null labels in place of disagreement, and its rare labels have up to 300 rows."""
-    w = read_table(spark, d, "weak_labels").distinct()
-    c = F.when(~F.isnan("confidence") & F.col("confidence").between(0, 1), F.col("confidence"))
-    r = w.select("weak_label_id", norm_key(F.col("chunk_id")).alias("chunk_id"), tidy(F.col("label")).alias("label"), c.alias("c"))
-    freq = r.groupBy("label").agg(F.count(F.lit(1)).alias("freq"))
-    r = r.join(F.broadcast(freq), r["label"].eqNullSafe(freq["label"])).drop(freq["label"])
-    r = r.join(fusion_vote(spark, d).select("chunk_id", "disagreement"), "chunk_id", "left")
-    one = lambda cond, n: F.when(cond, n).otherwise(0)
-    p = F.when(F.col("c").isNull(), 2).when(F.col("c") < 0.4, 3).otherwise(0) + one(F.col("disagreement"), 3) + one(F.col("freq") <= 2, 2) + one(F.col("label") == "guidance_revision", 1)
-    top = r.select("weak_label_id", p.alias("priority")).where("priority > 0").orderBy(F.desc("priority"), "weak_label_id").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "weak_label_id")))
-
-
 @query(f"""with w as (select distinct * from weak_labels), v as (select lower(trim(chunk_id)) chunk_id, {_TIDY.format('label')} label, min(weak_label_id) o, count(*) n from w where chunk_id is not null and trim(chunk_id) <> '' and trim(label) <> '' group by 1, 2)
 select chunk_id, arg_max(label, (n, -o)) label, cast(sum(n) as bigint) n_votes, count(*) > 1 disagreement from v group by chunk_id""")
 def fusion_vote(spark, d):

@@ -49,23 +49,6 @@ def capped_candidates(spark, d):
     return w.withColumn("k", k).where("k <= 8").drop("k").orderBy("weak_label_id").limit(100)
 
 
-@query(f"""with w as (select distinct * from weak_labels where trim(chunk_id) <> '' and trim(label) <> '' and trim(case_id) <> ''), v as (select lower(trim(case_id)) case_id, {LB._TIDY.format('label')} label, count(*) n from w group by all),
-s as (select case_id, label, n / sum(n) over (partition by case_id) p from v),
-a as (select lower(trim(case_id)) case_id, avg(hesitation_score) h from (select distinct * from audio_behavior_segments) group by 1),
-f as (select s.case_id, label, greatest(0, p + case when h >= 5 and label = 'uncertainty' then 0.1 when h < 3 and label = 'commitment' then 0.1 else 0 end) q from s left join a using (case_id))
-select case_id, label, round(q / sum(q) over (partition by case_id), 4) fused from f""")
-def fusion_scores(spark, d):
-    """Vote shares of each case, adjusted by its audio within bounds and renormalised."""
-    w = read_table(spark, d, "weak_labels").distinct().where("trim(chunk_id) <> '' and trim(label) <> '' and trim(case_id) <> ''")
-    v = w.groupBy(norm_key(F.col("case_id")).alias("case_id"), LB.tidy(F.col("label")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("case_id")
-    s = v.withColumn("p", F.col("n") / F.sum("n").over(by))
-    a = read_table(spark, d, "audio_behavior_segments").distinct().groupBy(norm_key(F.col("case_id")).alias("case_id")).agg(F.avg("hesitation_score").alias("h"))
-    add = F.when((F.col("h") >= 5) & (F.col("label") == "uncertainty"), 0.1).when((F.col("h") < 3) & (F.col("label") == "commitment"), 0.1).otherwise(0.0)
-    f = s.join(a, "case_id", "left").withColumn("q", F.greatest(F.lit(0.0), F.col("p") + add))
-    return f.select("case_id", "label", F.round(F.col("q") / F.sum("q").over(by), 4).alias("fused"))
-
-
 @query("""with e as (select event_type, event_id, value y, extract(hour from ts)::double x, row_number() over (partition by event_type order by ts, event_id) r, count(*) over (partition by event_type) n from events),
 f as (select event_type, regr_slope(y, x) b, regr_intercept(y, x) a, avg(y) m from e where r <= floor(n * 0.7) group by 1)
 select event_type, count(*) n_test, round(avg(power(y - a - b * x, 2)), 4) model_mse, round(avg(power(y - m, 2)), 4) baseline_mse, round(avg(abs(y - a - b * x)), 4) model_mae from e join f using (event_type) where r > floor(n * 0.7) group by 1""")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as T
-from colloquy.operators import conversations as C
 from colloquy.operators import series as S
-from colloquy.plans.common import TURNS, turns
+from colloquy.plans import sqltext as X
+from colloquy.plans.common import SCORED, TURNS, scored, turns
 from colloquy.plans.registry import Registry
 from colloquy.runtime import norm_key, read_table
 
@@ -88,7 +88,10 @@ def event_sessions(spark, d):
     return t.groupBy("user_id", "s").agg(F.min("ts").alias("start_ts"), F.count(F.lit(1)).alias("n")).drop("s")
 
 
-@query()
+@query("""with recursive e as (select distinct user_id, epoch_us(ts) t from events), o as (select *, row_number() over (partition by user_id order by t) r from e),
+w as (select user_id, t, r, t kept, true keep from o where r = 1 union all
+  select o.user_id, o.t, o.r, case when o.t - w.kept >= 21600000000 then o.t else w.kept end, o.t - w.kept >= 21600000000 from w join o on o.user_id = w.user_id and o.r = w.r + 1)
+select user_id, t from w where keep""")
 def event_min_gap(spark, d):
     e = events(spark, d).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     return S.thin(e, key="user_id", time="t", gap=6 * 3600 * 1_000_000)
@@ -104,32 +107,39 @@ def _audio(spark, d):
 
 def _segments(spark, d):
     t = turns(spark, d).where("start_s < end_s")
-    return t.select("conv", F.col("turn").alias("rid"), F.col("start_s").alias("rs"), F.col("end_s").alias("re"), "role", "text")
+    return t.select("conv", F.col("turn").alias("rid"), F.col("start_s").alias("rs"), F.col("end_s").alias("re"), "role", "text", "segment_id")
 
 
 @query(f"""with {TURNS}, {_AUDIO} select conv, lid audio_id, turn, round(least(le, end_s) - greatest(ls, start_s), 6) overlap from a join turns using (conv)
 where start_s < end_s and ls < end_s and start_s < le""")
 def audio_segment_overlaps(spark, d):
-    o = S.overlaps(_audio(spark, d), _segments(spark, d).drop("role", "text"), key="conv", width=60.0)
+    o = S.overlaps(_audio(spark, d), _segments(spark, d).select("conv", "rid", "rs", "re"), key="conv", width=60.0)
     return o.select("conv", F.col("lid").alias("audio_id"), F.col("rid").alias("turn"), F.round("overlap", 6).alias("overlap"))
 
 
-@query(f"""with {TURNS}, {_AUDIO}, o as (select lid, role, turn, least(le, end_s) - greatest(ls, start_s) o from a join turns using (conv) where start_s < end_s and ls < end_s and start_s < le),
-r as (select *, row_number() over (partition by lid order by o desc, turn) k from o) select lid audio_id, role as dominant_role, turn from r where k = 1""")
-def audio_dominant_segment(spark, d):
-    """The segment with the largest overlap; the first of equal ones."""
+_AUDIO_ROWS = f"""{_AUDIO}, co as (select lid, role, turn, segment_id, least(le, end_s) - greatest(ls, start_s) o from a join turns using (conv) where start_s < end_s and ls < end_s and start_s < le),
+ck as (select *, row_number() over (partition by lid order by o desc, turn) k from co), context as (select lid audio_id, role, turn, segment_id from ck where k = 1)"""
+
+
+def audio_context(spark, d):
+    """(audio_id, role, turn, segment_id): the segment with the largest overlap of each audio row; the first of equal ones."""
     seg = _segments(spark, d)
-    o = S.overlaps(_audio(spark, d), seg.drop("role", "text"), key="conv", width=60.0)
+    o = S.overlaps(_audio(spark, d), seg.select("conv", "rid", "rs", "re"), key="conv", width=60.0)
     best = o.groupBy("conv", F.col("lid").alias("audio_id")).agg(F.max(F.struct("overlap", (-F.col("rid")).alias("o")))["o"].alias("o"))
     best = best.select("conv", "audio_id", (-F.col("o")).alias("turn"))
-    return best.join(seg.select("conv", F.col("rid").alias("turn"), F.col("role").alias("dominant_role")), ["conv", "turn"]).select("audio_id", "dominant_role", "turn")
+    return best.join(seg.select("conv", F.col("rid").alias("turn"), "role", "segment_id"), ["conv", "turn"]).select("audio_id", "role", "turn", "segment_id")
+
+
+@query(f"with {TURNS}, {_AUDIO_ROWS} select audio_id, role as dominant_role, turn from context")
+def audio_dominant_segment(spark, d):
+    return audio_context(spark, d).select("audio_id", F.col("role").alias("dominant_role"), "turn")
 
 
 @query(f"""with {TURNS}, {_AUDIO}, o as (select lid, role from a join turns using (conv) where start_s < end_s and ls < end_s and start_s < le)
 select lid audio_id, bool_or(role = 'analyst') any_question, bool_or(role = 'executive') any_answer, count(*) n_segments from o group by lid""")
 def audio_overlap_flags(spark, d):
     seg = _segments(spark, d)
-    o = S.overlaps(_audio(spark, d), seg.drop("role", "text"), key="conv", width=60.0).join(seg.select("conv", "rid", "role"), ["conv", "rid"])
+    o = S.overlaps(_audio(spark, d), seg.select("conv", "rid", "rs", "re"), key="conv", width=60.0).join(seg.select("conv", "rid", "role"), ["conv", "rid"])
     return o.groupBy(F.col("lid").alias("audio_id")).agg(
         F.bool_or(F.col("role") == "analyst").alias("any_question"), F.bool_or(F.col("role") == "executive").alias("any_answer"), F.count(F.lit(1)).alias("n_segments")
     )
@@ -151,16 +161,23 @@ def audio_hesitation(spark, d):
 
 
 
-@query()
+_ASKED = f"""asks as (select conv, start_s t, min(turn) aid from scored where start_s is not null and length({X.strip('text')}) > 15 and (contains(text, '?') or {X.any_phrase(f"lower({X.strip('text')})", L.SHIFT_QUESTION_PHRASES)}) group by 1, 2),
+ordered as (select *, row_number() over (partition by conv order by t) r from asks),
+walk as (select conv, t, aid, r, t kept, true keep from ordered where r = 1 union all
+  select o.conv, o.t, o.aid, o.r, case when o.t - w.kept >= 30 then o.t else w.kept end, o.t - w.kept >= 30 from walk w join ordered o on o.conv = w.conv and o.r = w.r + 1)"""
+
+
+@query(f"""with recursive {TURNS.lstrip()}, {SCORED}, {_ASKED}, k as (select conv, aid, t from walk where keep), c as (select conv, start_s s, end_s e, signed from scored where start_s < end_s),
+m as (select k.conv, k.aid, avg(signed) filter (where e > t - 60 and s < t) b, avg(signed) filter (where e > t and s < t + 120) a from k left join c on k.conv = c.conv group by 1, 2)
+select conv, cast(aid as varchar) aid, {X.exact('b', 6)} before, {X.exact('a', 6)} after, {X.exact('a - b', 6)} shift from m""")
 def question_shifts(spark, d):
     """Mean tone of what overlaps the 60 s before and 120 s after each question, of whatever role.
 
     A question has more than 15 characters and a question mark or phrase; those less than 30 s
     after the last kept one are left out, and of several at one time the first turn is kept."""
-    t = turns(spark, d)
-    timed = t.where("start_s < end_s")
-    chunks = timed.select("conv", F.col("turn").alias("cid"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), C.signed_sentiment(F.col("text")).alias("score"))
-    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    t = scored(spark, d)
+    chunks = t.where("start_s < end_s").select("conv", F.col("turn").alias("cid"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.col("signed").alias("score"))
+    text = T.strip(F.col("text"))
     asks = (F.length(text) > 15) & (text.contains("?") | (T.phrase_count(text, L.SHIFT_QUESTION_PHRASES) > 0))
     asked = t.where(asks & F.col("start_s").isNotNull()).groupBy("conv", F.col("start_s").alias("t")).agg(F.min("turn").alias("aid"))
     anchors = asked.join(S.thin(asked, key="conv", time="t", gap=30.0), ["conv", "t"]).select("conv", "aid", "t")
@@ -168,13 +185,14 @@ def question_shifts(spark, d):
 
 
 @query(f"""with {TURNS}, f as (select conv, min(start_s) s0 from turns where start_s is not null group by conv), b as (
-  select conv, cast(floor((start_s - s0) / 30) as bigint) win, end_s, length(text) n from turns join f using (conv) where start_s is not null)
-select conv, win, max(end_s) end_s, count(*) n_segments, cast(sum(n) as bigint) n_chars from b group by conv, win having sum(n) >= 40""")
+  select conv, turn, cast(floor((start_s - s0) / 30) as bigint) win, end_s, start_s, nullif({X.strip('text')}, '') as text from turns join f using (conv) where start_s is not null),
+g as (select conv, win, arg_max(end_s, (start_s, turn)) end_s, count(*) n_segments, length(string_agg(text, ' ')) n_chars from b group by conv, win)
+select conv, win, end_s, n_segments, n_chars from g where n_chars >= 40 or (n_chars > 0 and win = (select max(win) from g h where h.conv = g.conv))""")
 def window_chunks(spark, d):
-    """Windows of 30 s anchored at the first start; windows with less than 40 characters are
-    dropped, but for the last one of a conversation, which only needs any text. The SQL drops that one too."""
-    t = turns(spark, d).where("start_s is not null")
+    """Windows of 30 s anchored at the first start, with their trimmed texts joined by blanks; windows with less than
+    40 characters are dropped, but for the last one of a conversation, which only needs any text. end_s is that of the last segment."""
+    t = turns(spark, d).where("start_s is not null").withColumn("n", F.nullif(F.length(T.strip(F.col("text"))), F.lit(0)))
     t = t.withColumn("win", F.floor((F.col("start_s") - F.min("start_s").over(Window.partitionBy("conv"))) / 30))
-    g = t.groupBy("conv", "win").agg(F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_segments"), F.sum(F.length("text")).alias("n_chars"), F.bool_or(F.col("text").rlike(r"\S")).alias("spoken"))
+    g = t.groupBy("conv", "win").agg(F.max_by("end_s", F.when(F.col("end_s").isNotNull(), F.struct("start_s", "turn"))).alias("end_s"), F.count(F.lit(1)).alias("n_segments"), (F.sum("n") + F.count("n") - 1).alias("n_chars"))
     last = F.col("win") == F.max("win").over(Window.partitionBy("conv"))
-    return g.withColumn("last", last).where("n_chars >= 40 or last and spoken").drop("last", "spoken")
+    return g.withColumn("last", last).where("n_chars >= 40 or last and n_chars > 0").drop("last")

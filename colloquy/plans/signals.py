@@ -123,7 +123,7 @@ _EO = ["neutral", *(e for e in L.EMOTION_ORDER if e != "neutral")]
 b as (select doc_id, t, {" + ".join(_ES(e) for e in L.EMOTIONS)} total, list_reverse_sort([{", ".join(f"{{'s': {_ES(e)}, 'n': {_EN(e)}, 'o': {-i}, 'e': '{e}'}}" for i, e in enumerate(_EO))}])[1] b from p)
 select doc_id, case when b.s > 0 then b.e else 'neutral' end emotion, case when t = '' then 0.35 when b.s > 0 then round(greatest(0.55e0, least(0.95e0, b.s / total + 0.03e0 * b.n)), 4) else 0.42 end confidence from b""")
 def doc_emotion(spark, d):
-    t = read_spread(spark, d, "documents").select("doc_id", S.emotion(F.col("text")).alias("e"))
+    t = S.with_emotion(read_spread(spark, d, "documents").select("doc_id", "text"), "text", to="e")
     return t.select("doc_id", F.col("e.label").alias("emotion"), F.col("e.confidence").alias("confidence"))
 
 
@@ -155,8 +155,7 @@ weak as (select {key}, case when ov is not null then ov.label when best = 0 then
 
 def with_family(df):
     """Adds w, the weak label of text, with the sample of a finance lexicon."""
-    t = df.withColumns({"low": F.lower(F.coalesce("text", F.lit(""))), "plain": T.plain(F.col("text"))})
-    return t.withColumn("w", S.weak_family(F.col("low"), F.col("plain"), _FIN)).drop("low", "plain")
+    return S.with_weak_family(df, "text", _FIN)
 
 
 @query(f"with {weak_sql('documents', 'doc_id')} select doc_id, label, confidence, risk, opportunity, uncertainty, array_to_string(evidence, ';') evidence from weak")

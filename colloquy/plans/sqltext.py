@@ -56,3 +56,8 @@ def topic(x: str, topics: dict, default: str) -> str:
 
 def sql_list(words) -> str:
     return "[" + ", ".join(q(w) for w in words) + "]"
+
+
+def exact(x: str, digits: int = 4) -> str:
+    """x rounded half up by its decimal digits, which is what ties at the last place need."""
+    return f"cast(round(cast(round({x}, 9) as decimal(28, 9)), {digits}) as double)"
