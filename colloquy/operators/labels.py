@@ -13,7 +13,7 @@ def confusion(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> D
     spark = df.sparkSession
     dim = spark.createDataFrame([(a, b) for a in labels for b in labels], f"{truth} string, {predicted} string")
     n = df.where(F.col(truth).isin(labels) & F.col(predicted).isin(labels)).groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(dim).join(n, [truth, predicted], "left").fillna(0, ["n"])
+    return dim.join(n, [truth, predicted], "left").fillna(0, ["n"])
 
 
 def precision_recall(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def calibration(df: DataFrame, score: str, positive: Column, bins: int = 10) ->
     spark = df.sparkSession
     ok = df.where(F.col(score).between(0, 1) & ~F.isnan(score)).select(F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin"), score, positive.cast("int").alias("y"))
     g = ok.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 4).alias("avg_score"), F.round(F.avg("y"), 4).alias("positive_rate"))
-    return F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))).join(g, "bin", "left").fillna(0, ["n"])
+    return spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(g, "bin", "left").fillna(0, ["n"])
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:

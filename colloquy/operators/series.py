@@ -28,19 +28,30 @@ def runs(df: DataFrame, *, key: str, order: list[str], state: Column) -> DataFra
     return t.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def as_of(left: DataFrame, right: DataFrame, *, key: str, time: str, value: str, forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, *, key: str, time: str, value: str, forward: bool = False, block: Column | None = None) -> DataFrame:
     """The value at or before (or at or after) each left time, by a union and one ordered pass.
 
     No range join: both sides share one sort by key and time; linear in their size. Left
     rows without such a value get null. Equal times on the right take the last of them in
-    order of value (the first for forward).
+    order of value (the first for forward). ``block`` (such as the day of the time) cuts the
+    series of a key into blocks, between which the last value is carried, so that the rows of a
+    hot key are spread over tasks.
     """
-    a = left.select(*left.columns, F.lit(1 if not forward else -1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"))
+    side = F.lit(1 if not forward else -1)
+    a = left.select(*left.columns, side.alias("_side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"))
     b = right.select(F.col(key), F.col(time), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    u = a.unionByName(b, allowMissingColumns=True)
+    u = a.unionByName(b, allowMissingColumns=True).withColumn("_b", F.lit(0) if block is None else block)
+    way = lambda c: c.desc() if forward else c.asc()
     order = [F.col(time), F.col("_side"), F.col("_v")]
-    w = Window.partitionBy(key).orderBy(*((c.desc() if forward else c.asc()) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key, "_b").orderBy(*(way(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     out = u.withColumn("as_of", F.last("_v", ignorenulls=True).over(w)).where("_side <> 0")
+    if block is not None:
+        edge = F.struct(F.col(time).alias("t"), F.col("_v").alias("v"))
+        edges = u.where("_v is not null").groupBy(F.col(key).alias("_k"), "_b").agg((F.min(edge) if forward else F.max(edge))["v"].alias("_e"))
+        blocks = u.select(F.col(key).alias("_k"), "_b").distinct().join(edges, ["_k", "_b"], "left")
+        before = Window.partitionBy("_k").orderBy(way(F.col("_b"))).rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select("_k", F.col("_b").alias("_c"), F.last("_e", ignorenulls=True).over(before).alias("_carry"))
+        out = out.join(carried, (out[key] == carried["_k"]) & (out["_b"] == carried["_c"]), "left").withColumn("as_of", F.coalesce("as_of", "_carry"))
     return out.select(*left.columns, "as_of")
 
 

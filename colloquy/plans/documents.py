@@ -126,16 +126,16 @@ def bm25_stats(spark, d):
 
 _BM25 = f"""{_POSTS}, lens as (select doc_id, len({_LOW.format('text')}) n from documents), st as (select count(*) n, avg(n) avgdl from lens),
 df as (select token, count(*) df from tf group by token),
-q as (select item_id, unnest({_LOW.format('text')}) token from eval_passages where item_id % 100 = 0), qt as (select item_id, token, count(*) qtf from q group by all),
+q as (select item_id, unnest({_LOW.format('text')}) token from eval_passages), qt as (select item_id, token, count(*) qtf from q group by all),
 sc as (select item_id, tf.doc_id, sum(qtf * ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens.n / avgdl))) score
   from qt join tf using (token) join df using (token) join lens on lens.doc_id = tf.doc_id, st group by all),
 rk as (select item_id, doc_id, round(score, 6) score, cast(row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as int) rank from sc where score > 0)"""
 
 
 def _asked(spark, d):
-    """The stated query set: the whole texts of passages whose id is divisible by 100."""
-    q = read_table(spark, d, "eval_passages").where("item_id % 100 = 0")
-    return q.select("item_id", F.explode(T.tokens(F.col("text"), "[a-z0-9]+")).alias("token"))
+    """The stated query set: the whole texts of all evaluation passages."""
+    q = read_table(spark, d, "eval_passages")
+    return q.select("item_id", "lang", F.explode(T.tokens(F.col("text"), "[a-z0-9]+")).alias("token"))
 
 
 @query(f"with {_BM25} select item_id, doc_id, score, rank from rk where rank <= 10")
@@ -143,14 +143,56 @@ def bm25_topk(spark, d):
     return R.bm25(docs(spark, d), _asked(spark, d), doc="doc_id", query="item_id", ts=T.tokens(F.col("text"), "[a-z0-9]+"), k=10)
 
 
-@query(f"""with {_BM25}, rel as (select item_id, min(doc_id) doc_id from rk where rank = 2 group by item_id), f as (
-  select rel.item_id, min(rank) r from rel left join rk on rk.item_id = rel.item_id and rk.doc_id = rel.doc_id and rank <= 10 group by 1)
+_SHINGLES = f"""dts as (select doc_id, {_LOW.format('text')} ts from documents), its as (select item_id, {_LOW.format('text')} ts from eval_passages),
+dsh as (select distinct doc_id, unnest(list_transform(range(1, len(ts) - 6), lambda i: array_to_string(ts[i:i + 7], ' '))) h from dts), ish as (select distinct item_id, unnest(list_transform(range(1, len(ts) - 6), lambda i: array_to_string(ts[i:i + 7], ' '))) h from its),
+rel as (select item_id, doc_id from dsh join ish using (h) group by all having count(*) >= 3)"""
+
+
+def _relevant(spark, d):
+    ts = T.tokens(F.col("text"), "[a-z0-9]+").alias("ts")
+    return R.shared_shingles(docs(spark, d).select("doc_id", ts), read_table(spark, d, "eval_passages").select("item_id", ts), doc="doc_id", item="item_id")
+
+
+@query(f"""with {_BM25}, {_SHINGLES}, f as (select rel.item_id, min(rank) r from rel left join rk on rk.item_id = rel.item_id and rk.doc_id = rel.doc_id and rank <= 10 group by 1)
 select count(*) n_queries, round(avg(coalesce(r <= 1, false)::int), 4) recall_at_1, round(avg(coalesce(r <= 3, false)::int), 4) recall_at_3, round(avg(coalesce(r <= 5, false)::int), 4) recall_at_5,
   round(avg(coalesce(1 / r, 0)), 4) mrr from f""")
 def retrieval_metrics(spark, d):
-    """Metrics of the ranking with the second hit taken as the relevant one."""
-    ranked = bm25_topk(spark, d)
-    return R.ranking_metrics(ranked, ranked.where("rank = 2").select("item_id", "doc_id"), query="item_id", doc="doc_id", at=[1, 3, 5])
+    """Metrics of the ranking; relevant are documents that share three or more runs of eight words with the passage."""
+    return R.ranking_metrics(bm25_topk(spark, d), _relevant(spark, d), query="item_id", doc="doc_id", at=[1, 3, 5])
+
+
+_CBM = f"""cposts as (select doc_id, coalesce(lang, '') x, unnest({_LOW.format('text')}) token from documents), ctf as (select doc_id, x, token, count(*) tf from cposts group by all),
+clen as (select doc_id, coalesce(lang, '') x, len({_LOW.format('text')}) n from documents), cst as (select x, count(*) n, avg(n) avgdl from clen group by x), cdf as (select token, x, count(*) df from ctf group by all),
+cq as (select item_id, coalesce(lang, '') x, unnest({_LOW.format('text')}) token from eval_passages), cqt as (select item_id, x, token, count(*) qtf from cq group by all),
+csc as (select item_id, ctf.doc_id, sum(qtf * ln(1 + (cst.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * clen.n / avgdl))) score
+  from cqt join ctf using (token, x) join cdf using (token, x) join clen on clen.doc_id = ctf.doc_id join cst on cst.x = cqt.x group by all),
+crk as (select item_id, doc_id, round(score, 6) score, cast(row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as int) rank from csc where score > 0)"""
+
+
+@query(f"with {_CBM} select item_id, doc_id, score, rank from crk where rank <= 5")
+def bm25_in_context(spark, d):
+    """The five best documents of the passage's language, with that language's counts."""
+    t = docs(spark, d).select("doc_id", "lang", "text")
+    return R.bm25(t, _asked(spark, d), doc="doc_id", query="item_id", ts=T.tokens(F.col("text"), "[a-z0-9]+"), k=5, context=["lang"])
+
+
+_OUTCOMES = f"""{_CBM}, {_SHINGLES}, q as (select item_id from eval_passages), hit as (select item_id, min(rank) first from crk join rel using (item_id, doc_id) where rank <= 5 group by 1),
+ret as (select item_id, count(*) n from crk where rank <= 5 group by 1), ex as (select item_id, count(*) n from rel group by 1),
+outcomes as (select q.item_id, coalesce(ex.n, 0) n_expected, coalesce(ret.n, 0) n_returned, coalesce(first, 0) first_rank, ret.n is null abstained from q left join ex using (item_id) left join ret using (item_id) left join hit using (item_id))"""
+
+
+@query(f"with {_OUTCOMES} select * from outcomes")
+def retrieval_outcomes(spark, d):
+    """One row for each passage: what was expected and returned, the first expected rank (0 for none), abstention."""
+    q = read_table(spark, d, "eval_passages").select("item_id")
+    return R.outcomes(q, bm25_in_context(spark, d), _relevant(spark, d), query="item_id", doc="doc_id")
+
+
+@query(f"""with {_OUTCOMES} select count(*) n_queries, count(*) filter (where n_expected > 0) n_expecting, round(avg((first_rank = 1)::int) filter (where n_expected > 0), 4) recall_at_1, round(avg((first_rank between 1 and 3)::int) filter (where n_expected > 0), 4) recall_at_3,
+  round(avg((first_rank between 1 and 5)::int) filter (where n_expected > 0), 4) recall_at_5, round(avg(case when first_rank > 0 then 1 / first_rank else 0 end) filter (where n_expected > 0), 4) mrr, round(avg((first_rank > 0)::int) filter (where n_expected > 0), 4) hit_rate,
+  count(*) filter (where abstained) n_abstained, round(coalesce(avg(abstained::int) filter (where n_expected = 0), 0), 4) abstention_correctness from outcomes""")
+def retrieval_summary(spark, d):
+    return R.outcome_rates(retrieval_outcomes(spark, d))
 
 
 @query(f"""with {_POSTS}, h as (select doc_id, cast(('0x' || left(sha256(token), 8)) as bigint) % 64 bucket,

@@ -10,6 +10,7 @@ from colloquy.functions import text as T
 from colloquy.operators import chunking as K
 from colloquy.operators import guidance as G
 from colloquy.operators import validate as V
+from colloquy.operators.quantiles import exact_quantiles, wide
 from colloquy.plans.common import TURNS, turns
 from colloquy.plans import sqltext as X
 from colloquy.plans.documents import docs
@@ -161,10 +162,11 @@ def qa_similarity(spark, d):
     return j.select("row_id", F.round(K.similarity(F.col("analyst_question_excerpt"), F.col("management_answer_excerpt")), 4).alias("ratio"))
 
 
-@query("select section, cast(quantile_disc(n_chars, 0.5) as bigint) p50, cast(quantile_disc(n_chars, 0.95) as bigint) p95, max(n_chars) top from documents where n_chars is not null group by section")
+@query("select section, cast(quantile_disc(n_chars, 0.5) as bigint) p50, cast(quantile_disc(n_chars, 0.9) as bigint) p90, cast(quantile_disc(n_chars, 0.95) as bigint) p95, max(n_chars) top from documents where n_chars is not null group by section")
 def nearest_rank_percentiles(spark, d):
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by n_chars)").cast("long")
-    return docs(spark, d).where("n_chars is not null").groupBy("section").agg(q(0.5).alias("p50"), q(0.95).alias("p95"), F.max("n_chars").alias("top"))
+    t = docs(spark, d)
+    q = exact_quantiles(t, ["section"], "n_chars", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "top": 1.0})
+    return wide(q, ["section"], ["p50", "p90", "p95", "top"]).select("section", *(F.col(c).cast("long").alias(c) for c in ("p50", "p90", "p95", "top")))
 
 
 @query(f"""with {TURNS}, t as (select conv, turn, start_s, end_s, role from turns where start_s < end_s), c as (select *, coalesce(lead(start_s) over (partition by conv order by start_s, turn) - end_s, 0) gap from t)

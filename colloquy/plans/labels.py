@@ -81,7 +81,7 @@ def calibration_bins(spark, d):
 def label_support(spark, d):
     dim = spark.createDataFrame([(n,) for n in NAMES], "label string")
     n = evaluated(spark, d).groupBy(F.col("truth").alias("label")).agg(F.count(F.lit(1)).alias("support"))
-    return F.broadcast(dim).join(n, "label", "left").fillna(0, ["support"])
+    return dim.join(n, "label", "left").fillna(0, ["support"])
 
 
 @query(f"with {_GOLD}, {_WEAK} select coalesce(gold.chunk_id, weak.chunk_id) chunk_id, case when weak.chunk_id is null then 'gold_only' when gold.chunk_id is null then 'weak_only' when gold.label = weak.label then 'same' else 'different' end status from gold full join weak using (chunk_id)")
@@ -109,9 +109,10 @@ def gold_merge(spark, d):
     return O.upsert(cols(weak(spark, d)), cols(gold(spark, d)), "chunk_id", "o").drop("o")
 
 
-@query(f"with {_GOLD}, {_WEAK} select chunk_id, label from gold where chunk_id not in (select chunk_id from weak)")
+@query(f"with {_GOLD}, {_WEAK} select chunk_id, label from gold where chunk_id not in (select chunk_id from weak where label = 'neutral')")
 def gold_append(spark, d):
-    return O.append(weak(spark, d), gold(spark, d), "chunk_id")
+    """Gold labels of chunks that no neutral weak label has."""
+    return O.append(weak(spark, d).where("label = 'neutral'"), gold(spark, d), "chunk_id")
 
 
 @query(f"""with w as (select distinct * from weak_labels), v as (select lower(trim(chunk_id)) chunk_id, {_TIDY.format('label')} label, min(weak_label_id) o, count(*) n from w where chunk_id is not null and trim(chunk_id) <> '' and trim(label) <> '' group by 1, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import labels as O
+from colloquy.operators.quantiles import exact_quantiles
 from colloquy.plans import documents as D
 from colloquy.plans import labels as LB
 from colloquy.plans import signals as SG
@@ -54,9 +55,15 @@ f as (select event_type, regr_slope(y, x) b, regr_intercept(y, x) a, avg(y) m fr
 select event_type, count(*) n_test, round(avg(power(y - a - b * x, 2)), 4) model_mse, round(avg(power(y - m, 2)), 4) baseline_mse, round(avg(abs(y - a - b * x)), 4) model_mae from e join f using (event_type) where r > floor(n * 0.7) group by 1""")
 def chronological_fit(spark, d):
     """Least squares on the first 70 % of each series in time, errors on the rest, beside the mean."""
-    w = Window.partitionBy("event_type")
-    e = read_table(spark, d, "events").select("event_type", F.col("value").alias("y"), F.hour("ts").cast("double").alias("x"), F.row_number().over(w.orderBy("ts", "event_id")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    early = F.col("r") <= F.floor(F.col("n") * 0.7)
+    e = read_table(spark, d, "events").select("event_type", "event_id", F.col("value").alias("y"), F.hour("ts").cast("double").alias("x"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    # the time of the last early row; of rows at that time those with the smallest ids are early
+    n = e.groupBy("event_type").agg(F.floor(F.count(F.lit(1)) * 0.7).alias("k"))
+    at = exact_quantiles(e.where("event_type is not null"), ["event_type"], "t", {"t": 0.7}).select("event_type", F.col("x").cast("long").alias("cut"))
+    e = e.join(at, "event_type").join(n, "event_type")
+    below = e.where("t < cut").groupBy("event_type").agg(F.count(F.lit(1)).alias("below"))
+    same = e.where("t = cut").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).select("event_id", "r")
+    e = e.join(below, "event_type", "left").join(same, "event_id", "left")
+    early = (F.col("t") < F.col("cut")) | ((F.col("t") == F.col("cut")) & (F.coalesce("below", F.lit(0)) + F.col("r") <= F.col("k")))
     f = e.where(early).groupBy("event_type").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.avg("y").alias("m"))
     err = F.col("y") - F.col("a") - F.col("b") * F.col("x")
     t = e.where(~early).join(F.broadcast(f), "event_type")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.quantiles import exact_quantiles, wide
 from colloquy.plans.registry import Registry
 from colloquy.runtime import read_table
 
@@ -45,9 +46,9 @@ def rel_semi_join(spark, d):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def rel_anti_join(spark, d):
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_totalprice > 300000")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
@@ -81,9 +82,9 @@ def rel_intersect(spark, d):
     return s.select(F.col("s_nationkey").alias("nationkey")).intersect(c.select("c_nationkey"))
 
 
-@query("select p_partkey partkey from part except select l_partkey from lineitem where l_quantity > 10")
+@query("select p_partkey partkey from part except select l_partkey from lineitem where l_quantity > 49")
 def rel_except(spark, d):
-    p, li = read_table(spark, d, "part"), read_table(spark, d, "lineitem").where("l_quantity > 10")
+    p, li = read_table(spark, d, "part"), read_table(spark, d, "lineitem").where("l_quantity > 49")
     return p.select(F.col("p_partkey").alias("partkey")).exceptAll(li.select("l_partkey").distinct())
 
 
@@ -111,8 +112,10 @@ def rel_window_functions(spark, d):
 
 @query("select o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 2) median, round(quantile_cont(o_totalprice, 0.9), 2) p90, round(stddev_samp(o_totalprice), 2) sd from orders group by 1")
 def rel_quantiles(spark, d):
-    q = lambda p: F.round(F.percentile("o_totalprice", F.lit(p)), 2)
-    return read_table(spark, d, "orders").groupBy("o_orderstatus").agg(q(0.5).alias("median"), q(0.9).alias("p90"), F.round(F.stddev_samp("o_totalprice"), 2).alias("sd"))
+    o = read_table(spark, d, "orders")
+    q = wide(exact_quantiles(o, ["o_orderstatus"], "o_totalprice", {"median": 0.5, "p90": 0.9}, linear=True), ["o_orderstatus"], ["median", "p90"])
+    sd = o.groupBy("o_orderstatus").agg(F.round(F.stddev_samp("o_totalprice"), 2).alias("sd"))
+    return sd.join(q, "o_orderstatus", "left").select("o_orderstatus", F.round("median", 2).alias("median"), F.round("p90", 2).alias("p90"), "sd")
 
 
 @query("""select round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 4) intercept, round(corr(l_extendedprice, l_quantity), 6) corr, count(*) n from lineitem""")
@@ -130,7 +133,7 @@ select nh n_high, nl n_low, round(mh - ml, 6) diff, round((mh - ml) / sqrt(vh /
 def welch_t(spark, d):
     """High against low by the 0.3 and 0.7 quantiles, both inclusive."""
     o = read_table(spark, d, "orders").select("o_totalprice", (F.dayofweek("o_orderdate") - 1).cast("double").alias("y"))
-    q = o.agg(F.percentile("o_totalprice", F.lit(0.3)).alias("lo"), F.percentile("o_totalprice", F.lit(0.7)).alias("hi"))
+    q = wide(exact_quantiles(o, [], "o_totalprice", {"lo": 0.3, "hi": 0.7}, linear=True), [], ["lo", "hi"]).drop("n")
     x = o.join(F.broadcast(q))
     hi, lo = F.when(F.expr("o_totalprice >= hi"), F.col("y")), F.when(F.expr("o_totalprice <= lo"), F.col("y"))
     g = x.agg(F.count(hi).alias("nh"), F.count(lo).alias("nl"), F.avg(hi).alias("mh"), F.avg(lo).alias("ml"), F.var_samp(hi).alias("vh"), F.var_samp(lo).alias("vl"))
@@ -144,7 +147,7 @@ def bootstrap_ci(spark, d):
     A resample with replacement is drawn as counts of the distinct values, which is the same
     distribution; Python gets one row for each group and value. Without two rows a group no row."""
     o = read_table(spark, d, "orders").select("o_totalprice", (F.dayofweek("o_orderdate") - 1).cast("double").alias("y"))
-    q = o.agg(F.percentile("o_totalprice", F.lit(0.3)).alias("lo"), F.percentile("o_totalprice", F.lit(0.7)).alias("hi"))
+    q = wide(exact_quantiles(o, [], "o_totalprice", {"lo": 0.3, "hi": 0.7}, linear=True), [], ["lo", "hi"]).drop("n")
     side = F.array(F.when(F.expr("o_totalprice >= hi"), "high"), F.when(F.expr("o_totalprice <= lo"), "low"))
     x = o.join(F.broadcast(q)).where("y is not null").select("y", F.explode(F.array_compact(side)).alias("side"))
 

@@ -39,6 +39,10 @@ def event_runs(spark, d):
 _P = "p as (select user_id, ts, max(value) v from events where event_type = (select min(event_type) from events) group by all), q as (select event_id, user_id, ts from events where event_type = (select max(event_type) from events))"
 
 
+def _DAY():
+    return F.date_trunc("day", F.col("ts"))
+
+
 def _prices(spark, d):
     e = events(spark, d)
     kinds = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
@@ -50,13 +54,13 @@ def _prices(spark, d):
 @query(f"with {_P} select q.event_id, p.v as_of from q asof left join p on q.user_id = p.user_id and q.ts >= p.ts")
 def event_asof_before(spark, d):
     p, q = _prices(spark, d)
-    return S.as_of(q, p, key="user_id", time="ts", value="v").select("event_id", "as_of")
+    return S.as_of(q, p, key="user_id", time="ts", value="v", block=_DAY()).select("event_id", "as_of")
 
 
 @query(f"with {_P} select q.event_id, p.v as_of from q asof left join p on q.user_id = p.user_id and q.ts <= p.ts")
 def event_asof_after(spark, d):
     p, q = _prices(spark, d)
-    return S.as_of(q, p, key="user_id", time="ts", value="v", forward=True).select("event_id", "as_of")
+    return S.as_of(q, p, key="user_id", time="ts", value="v", forward=True, block=_DAY()).select("event_id", "as_of")
 
 
 _RET = """, a as (select q.event_id, q.user_id, q.ts, p.v v0 from q asof left join p on q.user_id = p.user_id and q.ts <= p.ts),
@@ -67,8 +71,8 @@ b as (select a.event_id, a.v0, p.v v1 from (select *, ts + interval 1 day t1 fro
 def event_window_return(spark, d):
     """Return from the first price at or after an event to the first at or after one day later."""
     p, q = _prices(spark, d)
-    a = S.as_of(q, p, key="user_id", time="ts", value="v", forward=True).withColumnRenamed("as_of", "v0")
-    b = S.as_of(a.withColumn("ts", F.expr("ts + interval 1 day")), p, key="user_id", time="ts", value="v", forward=True)
+    a = S.as_of(q, p, key="user_id", time="ts", value="v", forward=True, block=_DAY()).withColumnRenamed("as_of", "v0")
+    b = S.as_of(a.withColumn("ts", F.expr("ts + interval 1 day")), p, key="user_id", time="ts", value="v", forward=True, block=_DAY())
     return b.where("v0 is not null and as_of is not null").select("event_id", F.round(F.expr("case when v0 <> 0 then as_of / v0 - 1 end"), 6).alias("ret"))
 
 
