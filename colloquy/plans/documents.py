@@ -92,7 +92,7 @@ def doc_char_chunks(spark, d):
 
 @query("""with s as (select source, doc_id, length(text) n, unnest(list_filter(range(0, length(text), 700), lambda s: s = 0 or s + 100 < length(text))) st from documents where length(text) > 0)
 select source, count(*) n_chunks, cast(max(least(800, n - st)) as int) max_span, round(avg((least(800, n - st) < 800)::int), 4) short_ratio from s group by source""")
-def doc_chunk_quality(spark, d):
+def doc_window_quality(spark, d):
     c = _windows(docs(spark, d).withColumn("doc_id", F.struct("doc_id", "source")), 800, 700)
     span = F.least(F.lit(800), F.length("text") - F.col("start_char"))
     return c.groupBy(F.col("doc_id.source").alias("source")).agg(F.count(F.lit(1)).alias("n_chunks"), F.max(span).alias("max_span"), F.round(F.avg((span < 800).cast("int")), 4).alias("short_ratio"))

@@ -108,18 +108,6 @@ def time_packed_chunks(spark, d):
     return K.pack_time(t, key="conv")
 
 
-_MARKS = {"opening": "good afternoon", "questions": "next question", "closing": "that concludes"}
-_MARK_SQL = ", ".join(f"{{'p': nullif(instr(lower(text), '{m}'), 0) - 1, 's': '{n}'}}" for n, m in _MARKS.items())
-
-
-@query(f"""with h as (select doc_id, length(text) n, unnest([{_MARK_SQL}]) x from documents where length(text) > 0), k as (select doc_id, n, x.p st, x.s section from h where x.p is not null),
-u as (select doc_id, n, 0 st, 'unknown' section from (select doc_id, length(text) n from documents where length(text) > 0) where doc_id not in (select doc_id from k where st = 0) union all select * from k)
-select doc_id, section, cast(st as int) start_char, cast(lead(st, 1, n) over (partition by doc_id order by st, section) as int) end_char from u""")
-def doc_sections(spark, d):
-    t = docs(spark, d).where("length(text) > 0").select("doc_id", F.explode(K.marker_spans(F.col("text"), _MARKS)).alias("x"))
-    return t.select("doc_id", "x.section", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"))
-
-
 @query(f"""with {TURNS}, a as (select distinct * from audio_behavior_segments where start_time_s <= end_time_s), f as (select lower(trim(case_id)) conv, audio_id, any_value(start_time_s) s, any_value(end_time_s) e from a group by 1, 2)
 select audio_id, count(turns.turn) n_points, round(coalesce(avg(length(turns.text)), 0), 4) mean_chars from f left join turns on f.conv = turns.conv and turns.start_s between f.s and f.e group by audio_id""")
 def points_in_intervals(spark, d):
