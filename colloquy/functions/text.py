@@ -195,15 +195,6 @@ def hash_sign(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?\d[\d ().-]{7,}\d"
-
-
-def redact(c: Column) -> Column:
-    """E-mail addresses and phone-like numbers replaced by tags, in this order."""
-    return F.regexp_replace(F.regexp_replace(c, EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
-
-
 def normalize_role(c: Column, roles: dict[str, str]) -> Column:
     """A role by its canonical name; others stand for themselves in lower case with underscores, an empty one for unknown."""
     r = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[\s-]+", "_")

@@ -18,35 +18,84 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 
 def sentence_ends(text: str) -> list[int]:
-    return [m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)] + [len(text)]
-
-
-def pack_sentences(text: str | None, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of whole sentences up to ``size`` characters, the last ``overlap`` characters shared;
-    a sentence longer than that is cut hard."""
+    """Ends of sentences with the white space after them; the last is the end of the text."""
+    ends = [m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)]
+    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+
+
+def pack_sentences(text: str | None, size: int, overlap: int, least: int) -> list[tuple[int, int]]:
+    """Spans of whole sentences that end within ``size`` characters of their start, each beginning ``overlap`` characters
+    before the end of the one before; a longer sentence stays whole. A piece under ``least`` characters is
+    joined to the one before it. A text without sentences has none."""
+    spans: list[tuple[int, int]] = []
+    start, end, first = 0, 0, True
+    for cut in sentence_ends(text) if text else []:
+        if not first and cut - start > size:
+            spans.append((start, end))
+            start = max(start, end - overlap)
+        first, end = False, cut
+    if text:
+        spans.append((start, end))
     out: list[tuple[int, int]] = []
-    start, ends = 0, sentence_ends(text) if text else []
-    while ends and start < len(text):
-        at = bisect_right(ends, start + size) - 1
-        end = ends[at] if at >= 0 and ends[at] > start + overlap else min(start + size, len(text))
-        out.append((start, end))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
+    for s, e in spans:
+        if out and len(text[s:e].strip()) < least:
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
     return out
 
 
-def packed(c: Column, size: int = 1800, overlap: int = 200) -> Column:
+def packed(c: Column, size: int = 1800, overlap: int = 200, least: int = 200) -> Column:
     """Array of (start, end) of packed sentences. Arrow batches; whole texts."""
 
     @F.pandas_udf(SPANS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: [{"start": a, "end": b} for a, b in pack_sentences(t, size, overlap)])
+            yield s.map(lambda t: [{"start": a, "end": b} for a, b in pack_sentences(t, size, overlap, least)])
+
+    return run(c)
+
+
+def review_pieces(text: str | None, size: int = 900) -> list[str]:
+    """Paragraphs; one of more than ``size`` characters as runs of sentences that fit, and a sentence that doesn't in cuts of ``size``."""
+    out: list[str] = []
+    for paragraph in re.split(r"\n\s*\n", re.sub(r"\r\n?", "\n", text or "")):
+        paragraph = paragraph.strip()
+        if len(paragraph) <= size:
+            out.append(paragraph)
+            continue
+        run = ""
+        for sentence in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", paragraph))):
+            if run and len(run) + 1 + len(sentence) > size:
+                out.append(run)
+                run = ""
+            if len(sentence) > size:
+                out += [sentence[i : i + size].strip() for i in range(0, len(sentence), size)]
+            else:
+                run = f"{run} {sentence}" if run else sentence
+        out.append(run)
+    return [x for x in out if x]
+
+
+def review_chunks(c: Column, size: int = 900) -> Column:
+    """Array of the pieces of review_pieces(). Arrow batches; whole texts."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: review_pieces(t, size))
 
     return run(c)
 
 
+def timeline(pieces: Column, words_per_second: float = 2.5) -> Column:
+    """Array of (start, end, text): pieces on a made-up timeline, each as long as its words take, 5 to 90 seconds."""
+    seconds = lambda x: F.greatest(F.lit(5.0), F.least(F.lit(90.0), F.greatest(F.lit(1), F.regexp_count(x, F.lit(r"(?U)\b\w+\b"))) / max(words_per_second, 0.5)))
+    step = lambda s, x: F.struct(F.round(s["t"] + seconds(x), 3).alias("t"), F.concat(s["out"], F.array(F.struct(s["t"].alias("start"), F.round(s["t"] + seconds(x), 3).alias("end"), x.alias("text")))).alias("out"))
+    zero = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<struct<start:double,end:double,text:string>>").alias("out"))
+    return F.aggregate(pieces, zero, step)["out"]
+
+
 def pack_time(segments: DataFrame, *, key: str, seconds: float = 30.0) -> DataFrame:
     """(key, chunk_no, start, end, n): greedy chunks of consecutive segments while they end within ``seconds``
     of the chunk's start.

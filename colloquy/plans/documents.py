@@ -63,16 +63,6 @@ def doc_numbers(spark, d):
     return t.select("doc_id", F.size(ns).alias("n_numbers"), F.get(ns, 0).alias("first_number"), T.midpoint(F.col("text")).alias("midpoint"))
 
 
-@query(rf"""select doc_id, len(regexp_extract_all(text, '{T.EMAIL}')) n_email, len(regexp_extract_all(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.PHONE}')) n_phone,
-  sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.PHONE}', '[PHONE]', 'g')) redacted_sha from documents where text is not null""")
-def doc_redaction(spark, d):
-    c = F.col("text")
-    return docs(spark, d).where("text is not null").select(
-        "doc_id", F.regexp_count(c, F.lit(T.EMAIL)).alias("n_email"), F.regexp_count(F.regexp_replace(c, T.EMAIL, "[EMAIL]"), F.lit(T.PHONE)).alias("n_phone"),
-        F.sha2(T.redact(c), 256).alias("redacted_sha"),
-    )
-
-
 def _windows(t, width: int, step: int):
     n = F.length("text")
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))

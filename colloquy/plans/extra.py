@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as T
 from colloquy.operators import chunking as K
+from colloquy.operators import evidence as E
 from colloquy.operators import guidance as G
+from colloquy.operators import privacy as P
 from colloquy.operators import validate as V
 from colloquy.operators.quantiles import exact_quantiles, wide
 from colloquy.plans.common import TURNS, turns
@@ -95,10 +97,42 @@ def label_error_summary(spark, d):
 
 @query()
 def doc_sentence_chunks(spark, d):
-    t = docs(spark, d).where("text is not null").select("doc_id", F.posexplode(K.packed(F.col("text"))).alias("chunk_no", "x"))
+    """Runs of sentences of up to 1,800 characters of the normalised text, 200 shared."""
+    t = docs(spark, d).where("text is not null").select("doc_id", F.posexplode(K.packed(T.normalize_lines(F.col("text")))).alias("chunk_no", "x"))
     return t.select("doc_id", "chunk_no", "x.start", "x.end")
 
 
+@query()
+def doc_review_chunks(spark, d):
+    """Pieces of up to 900 characters for review, on a made-up timeline."""
+    t = docs(spark, d).where("text is not null").select("doc_id", K.review_chunks(F.col("text")).alias("p"))
+    t = t.select("doc_id", F.posexplode(K.timeline(F.col("p"))).alias("chunk_no", "x"))
+    return t.select("doc_id", "chunk_no", "x.start", "x.end", F.sha2("x.text", 256).alias("text_sha"))
+
+
+@query()
+def doc_redactions(spark, d):
+    """Personal data of documents by kind."""
+    t = docs(spark, d).where("text is not null").select("doc_id", P.redacted(F.col("text")).alias("r"))
+    return P.redaction_summary(t.select("doc_id", F.inline("r.found")))
+
+
+@query()
+def doc_redacted(spark, d):
+    t = docs(spark, d).where("text is not null").select("doc_id", P.redacted(F.col("text")).alias("r"))
+    return t.select("doc_id", F.size("r.found").alias("n"), F.sha2("r.text", 256).alias("redacted_sha"))
+
+
+@query()
+def evidence_spans(spark, d):
+    """Where the first sentence of each label's evidence stands in the documents of its ticker."""
+    lab = read_table(spark, d, "labels").distinct().where("evidence_text is not null and ticker is not null")
+    lab = lab.select("label_row_id", F.upper(F.trim("ticker")).alias("ticker"), F.regexp_extract("evidence_text", r"^([^.!?]+[.!?])", 1).alias("q"), F.col("event_date").alias("day"))
+    doc = docs(spark, d).where("text is not null and ticker is not null").select("doc_id", F.upper(F.trim("ticker")).alias("ticker"), "text", "fiscal_year")
+    j = lab.join(doc, (lab["ticker"] == doc["ticker"]) & F.col("day").contains(F.col("fiscal_year").cast("string"))).select("label_row_id", "doc_id", E.quote_span(F.col("text"), F.col("q")).alias("s"))
+    return j.select("label_row_id", "doc_id", "s.status", "s.start", "s.end")
+
+
 @query(f"""with recursive {TURNS.lstrip()}, o as (select conv, start_s s, end_s e, row_number() over (partition by conv order by turn) r from turns where start_s is not null and end_s is not null),
 w as (select conv, r, 0 no, s first, e last from o where r = 1 union all
   select o.conv, o.r, case when o.e - w.first > 30 then w.no + 1 else w.no end, case when o.e - w.first > 30 then o.s else w.first end, o.e from w join o on o.conv = w.conv and o.r = w.r + 1)
