@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import contracts as Q
 from colloquy.operators import labels as O
 from colloquy.plans.registry import Registry
 from colloquy.runtime import norm_key, read_table
@@ -91,15 +92,27 @@ def label_full_match(spark, d):
     return g.join(w, "chunk_id", "full_outer").select("chunk_id", s.alias("status"))
 
 
-@query(r"""with l as (select distinct * from labels), s as (select case when call_id is null or trim(call_id) = '' then 'missing_call' when deleted_at is not null then 'deleted' when trim(coalesce(guidance_change_label, '')) = '' then 'missing_label'
-  when count(*) over (partition by lower(trim(call_id)), lower(trim(guidance_change_label)), evidence_text) > 1 then 'duplicate' else 'ok' end status from l) select status, count(*) n from s group by 1""")
-def gold_audit(spark, d):
-    w = Window.partitionBy(F.lower(F.trim("call_id")), F.lower(F.trim("guidance_change_label")), "evidence_text")
-    s = (
-        F.when(F.col("call_id").isNull() | (F.trim("call_id") == ""), "missing_call").when(F.col("deleted_at").isNotNull(), "deleted")
-        .when(F.trim(F.coalesce("guidance_change_label", F.lit(""))) == "", "missing_label").when(F.count(F.lit(1)).over(w) > 1, "duplicate").otherwise("ok")
+_AUDIT = r"""gl as (select distinct * from gold_labels), ga as (select *, count(*) over (partition by trim(cast(gold_label_id as varchar))) k, regexp_replace(lower(trim(list_filter(labels, lambda x: trim(x) <> '')[1])), '[\s_-]+', '_', 'g') sig from gl),
+audit as (select gold_label_id, case when k > 1 then 'BLOCKED_DUPLICATE' when source = 'external_dataset' then 'BLOCKED_EXTERNAL_SOURCE' when coalesce(json_extract_string(provenance, '$.source_id'), '') = '' then 'BLOCKED_NO_PROVENANCE'
+  when coalesce(trim(text), '') = '' or coalesce(trim(reviewer), '') = '' or coalesce(trim(review_timestamp), '') = '' then 'REPAIRABLE_REVIEW_REQUIRED' when coalesce(trim(case_id), '') = '' or sig is null
+    or sig not in ('guidance_revision', 'analyst_pressure', 'management_hedging', 'uncertainty', 'opportunity_commitment', 'risk_friction', 'neutral', 'neutral/no_signal', 'reassurance', 'answer_shift') then 'REPAIRABLE_SCHEMA_ONLY' else 'VALID' end status from ga)"""
+
+
+def audited(spark, d):
+    """gold_labels as rows of the gold contract: the source id stands for the hash, section and direction are given."""
+    g = read_table(spark, d, "gold_labels").distinct()
+    source = F.get_json_object("provenance", "$.source_id")
+    g = g.select(
+        F.col("gold_label_id").cast("string").alias("label_id"), "case_id", tidy(F.get(F.filter("labels", lambda x: F.trim(x) != ""), 0)).alias("signal_type"), F.lit("none").alias("direction"), F.lit("unknown").alias("speaker_role"),
+        F.col("text").alias("evidence_text"), "reviewer", F.col("review_timestamp").alias("reviewed_at"), F.col("source").alias("source_type"), F.lit("gold_labels").alias("source_file"), F.when(source != "", F.concat(F.lit("sha256:"), source)).alias("provenance_hash"),
     )
-    return read_table(spark, d, "labels").distinct().select(s.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("status", Q.gold_status(g))
+
+
+@query(f"with {_AUDIT} select status, count(*) n from audit group by 1")
+def gold_audit(spark, d):
+    """How many votes have which status of the gold contract."""
+    return audited(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_GOLD}, {_WEAK} select coalesce(gold.chunk_id, weak.chunk_id) chunk_id, coalesce(gold.label, weak.label) label, case when gold.chunk_id is null then 'existing' else 'new' end origin from gold full join weak using (chunk_id)")
@@ -128,21 +141,21 @@ def fusion_vote(spark, d):
 _CONF = "case when confidence is null or isnan(confidence) then 'unknown' when confidence < 0.4 then 'LOW' when confidence < 0.6 then 'MEDIUM' else 'HIGH' end"
 
 
-@query(f"""with w as (select distinct * from weak_labels) select lower(trim(case_id)) case_id, {_TIDY.format('label')} label, count(*) n, count(*) filter (where {_CONF} = 'HIGH') n_high, count(*) filter (where {_CONF} = 'LOW') n_low, count(*) filter (where chunk_id is null) n_unmatched
+@query(f"""with w as (select distinct * from weak_labels) select lower(trim(case_id)) case_id, {_TIDY.format('label')} label, count(*) n, count(*) filter (where {_CONF} = 'HIGH') n_high, count(*) filter (where {_CONF} = 'MEDIUM') n_medium, count(*) filter (where {_CONF} = 'LOW') n_low, count(*) filter (where chunk_id is null) n_unmatched
 from w where trim(case_id) <> '' group by 1, 2""")
 def summary_by_case_label(spark, d):
     c = F.col("confidence")
     known = c.isNotNull() & ~F.isnan(c)
     return read_table(spark, d, "weak_labels").distinct().where("trim(case_id) <> ''").groupBy(norm_key(F.col("case_id")).alias("case_id"), tidy(F.col("label")).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(known & (c >= 0.6)).alias("n_high"), F.count_if(known & (c < 0.4)).alias("n_low"), F.count_if(F.col("chunk_id").isNull()).alias("n_unmatched")
+        F.count(F.lit(1)).alias("n"), F.count_if(known & (c >= 0.6)).alias("n_high"), F.count_if(known & (c >= 0.4) & (c < 0.6)).alias("n_medium"), F.count_if(known & (c < 0.4)).alias("n_low"), F.count_if(F.col("chunk_id").isNull()).alias("n_unmatched")
     )
 
 
-@query(f"""with w as (select distinct * from weak_labels) select {_CONF} priority, count(*) n, count(distinct lower(trim(case_id))) n_cases from w group by 1""")
+@query(f"""with w as (select distinct * from weak_labels) select {_CONF} priority, {_TIDY.format('label')} as label, count(*) n, count(distinct lower(trim(case_id))) n_cases, count(*) filter (where chunk_id is null) n_unmatched from w group by 1, 2""")
 def summary_by_priority(spark, d):
     c = F.col("confidence")
     p = F.when(c.isNull() | F.isnan(c), "unknown").when(c < 0.4, "LOW").when(c < 0.6, "MEDIUM").otherwise("HIGH")
-    return read_table(spark, d, "weak_labels").distinct().groupBy(p.alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("case_id"))).alias("n_cases"))
+    return read_table(spark, d, "weak_labels").distinct().groupBy(p.alias("priority"), tidy(F.col("label")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("case_id"))).alias("n_cases"), F.count_if(F.col("chunk_id").isNull()).alias("n_unmatched"))
 
 
 @query(f"""with w as (select distinct * from weak_labels), c as (select *, {_TIDY.format('label')} l, row_number() over (partition by lower(trim(case_id)), {_TIDY.format('label')} order by confidence desc nulls last, weak_label_id) k from w
