@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +35,22 @@ def read_conversations(spark: SparkSession, path: str, *, strict: bool = False)
 
     Accepts one object with messages or transcript_segments, an object with a list of
     conversations, and lists of objects. Rows without text are dropped; a missing index is
-    the position. A conversation without an id is named by its position in its file.
+    the position. A conversation without an id is named by its file and its position there.
     strict raises on malformed rows, otherwise they are dropped. Unknown suffixes raise.
     """
     if not path.rstrip("/*").endswith((".json", ".jsonl")):
         raise ValueError("conversations are read from .json or .jsonl")
     mode = "FAILFAST" if strict else "DROPMALFORMED"
     raw = spark.read.schema(CONVERSATION).option("mode", mode).option("multiLine", path.endswith(".json")).json(path)
-    name = F.coalesce("conversation_id", "id")
-    flat = raw.select(name.alias("conv"), F.coalesce("messages", "transcript_segments").alias("m")).where("m is not null")
-    nested = raw.where("conversations is not null").select(F.explode("conversations").alias("c")).select(F.col("c.conversation_id").alias("conv"), F.col("c.messages").alias("m"))
-    every = flat.unionByName(nested).withColumn("conv", F.coalesce("conv", F.concat(F.lit("conversation_"), F.monotonically_increasing_id().cast("string"))))
+    raw = raw.withColumns({"_f": F.input_file_name(), "_b": F.input_file_block_start(), "_i": F.monotonically_increasing_id()})
+    name, at = F.coalesce("conversation_id", "id"), ["_f", "_b", "_i"]
+    flat = raw.select(name.alias("conv"), F.coalesce("messages", "transcript_segments").alias("m"), *at).where("m is not null")
+    nested = raw.where("conversations is not null").select(F.explode("conversations").alias("c"), *at).select(F.col("c.conversation_id").alias("conv"), F.col("c.messages").alias("m"), *at)
+    every = flat.unionByName(nested)
+    # the position in the file: where the row's block of the file begins, then its order in that block
+    place = F.concat_ws("_", F.regexp_extract("_f", r"([^/]+)$", 1), F.col("_b").cast("string"), F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")).cast("string"))
+    unnamed = every.where("conv is null").withColumn("conv", F.concat(F.lit("conversation_"), place))
+    every = every.where("conv is not null").unionByName(unnamed)
     t = every.select("conv", F.posexplode("m").alias("pos", "x"))
     t = t.select(
         "conv", F.coalesce("x.message_index", "pos").alias("turn"), F.lower(F.coalesce("x.role", "x.speaker_role", F.lit("unknown"))).alias("role"),
@@ -68,10 +80,84 @@ def read_parquet_dir(spark: SparkSession, path: str, columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
-def page_links(df: DataFrame, *, page: str, html: str) -> DataFrame:
-    """(page, position, href) of the links of HTML pages."""
-    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'#]+)"), 1)
-    return df.select(page, F.posexplode(links).alias("position", "href"))
+#: Media and documents that scripts of pages name.
+MEDIA = r"https?://[^\s\"'<>]+?\.(?:mp3|m4a|wav|mp4|m3u8|pdf|txt|html?)(?:\?[^\s\"'<>]*)?"
+
+
+class _Page(HTMLParser):
+    """Anchors with their texts, canonical and social links, and JSON-LD of a page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links: list[tuple[str, str]] = []
+        self.meta: list[str] = []
+        self.data: list[str] = []
+        self.kind: str | None = None
+        self.open: int | None = None
+
+    def handle_starttag(self, tag, attrs):
+        a = {k.lower(): v or "" for k, v in attrs}
+        if tag == "a" and a.get("href"):
+            self.links.append((a["href"], a.get("title") or a.get("aria-label") or ""))
+            self.open = len(self.links) - 1
+        elif tag == "link" and a.get("rel", "").lower() == "canonical" and a.get("href"):
+            self.meta.append(a["href"])
+        elif tag == "meta" and a.get("property", "").lower() in ("og:url", "twitter:url") and a.get("content"):
+            self.meta.append(a["content"])
+        elif tag == "script":
+            self.kind = a.get("type", "")
+
+    def handle_endtag(self, tag):
+        if tag == "script":
+            self.kind = None
+        elif tag == "a":
+            self.open = None
+
+    def handle_data(self, data):
+        if self.kind == "application/ld+json":
+            self.data.append(data)
+        elif self.open is not None and self.kind is None and not self.links[self.open][1]:
+            self.links[self.open] = (self.links[self.open][0], " ".join(data.split()))
+
+
+def _urls_of(x) -> list[str]:
+    if isinstance(x, dict):
+        return [u for v in x.values() for u in _urls_of(v)]
+    if isinstance(x, list):
+        return [u for v in x for u in _urls_of(v)]
+    return re.findall(r"https?://[^\s\"'<>]+", x) if isinstance(x, str) else []
+
+
+def links_of(base: str | None, page: str | None) -> list[dict]:
+    """(href, label) of a page, absolute, http only, each once: anchors, metadata, JSON-LD, media in the source."""
+    p = _Page()
+    p.feed(page or "")
+    found = [*p.links, *((u, "metadata url") for u in p.meta)]
+    for raw in p.data:
+        try:
+            value = json.loads(raw)
+        except ValueError:
+            value = raw
+        found += [(u, "json-ld url") for u in _urls_of(value)]
+    found += [(u, "script embedded public asset url") for u in re.findall(MEDIA, page or "", re.I)]
+    out: dict[str, str] = {}
+    for href, label in found:
+        href = urljoin(base or "", href.strip())
+        if href.startswith(("http://", "https://")):
+            out.setdefault(href, label)
+    return [{"href": h, "label": t} for h, t in out.items()]
+
+
+def page_links(df: DataFrame, *, page: str, html: str, base: str | None = None) -> DataFrame:
+    """(page, position, href, label) of the links of HTML pages; base: the column of the page's own URL. Arrow batches, whole pages."""
+
+    @F.pandas_udf("array<struct<href:string,label:string>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for b, h in batches:
+            yield pd.Series([links_of(x, y) for x, y in zip(b, h)])
+
+    root = F.col(base) if base else F.lit(None).cast("string")
+    return df.select(page, F.posexplode(run(root, F.col(html))).alias("position", "x")).select(page, "position", "x.href", "x.label")
 
 
 def page_text(c: Column) -> Column:
