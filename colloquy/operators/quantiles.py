@@ -1,54 +1,43 @@
 """Exact quantiles of groups of any size.
 
-An approximate pass gives, for each quantile, bounds between which it must lie (its rank error is
-bounded). A second pass counts what lies below the bounds, and how often each value between them
-occurs; only these values are put in order. No task holds all values of a group."""
+Equal values are counted before they are shuffled. The counted values are placed in ranges of
+(group, value), so that a group's values lie in order over tasks; the sums of the ranges are carried
+from range to range, and the wanted ranks are found in the range that holds them. No task holds
+all values of a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The approximate ranks are within 1 / ACCURACY of the rows.
-ACCURACY = 10_000
+from colloquy.runtime import checkpoint
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, ps: dict[str, float], *, linear: bool = False) -> DataFrame:
     """(group..., name, n, x): each quantile of ``ps`` (name -> share) by nearest rank, or linear between neighbours.
 
-    Null and NaN values take no part; a group without values has no row. Equal values are counted before they
-    are shuffled."""
+    Null and NaN values take no part; a group without values has no row."""
     v = df.select(*group, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     counts = v.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
-    slack = 2 / ACCURACY
-    grid = [max(0.0, p - slack) for p in ps.values()] + [min(1.0, p + slack) for p in ps.values()]
-    s = v.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", grid, ACCURACY).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    k, n = len(ps), F.col("n")
-    at = lambda p: (n - 1) * F.lit(p) if linear else F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0))
-    cells = F.array(*(
-        F.struct(
-            F.lit(name).alias("name"), at(p).cast("double").alias("at"),
-            (F.get("b", i) if p > slack else F.col("lo")).alias("from"), (F.get("b", k + i) if p < 1 - slack else F.col("hi")).alias("to"),
-        )
-        for i, (name, p) in enumerate(ps.items())
-    ))
-    wanted = s.select(*group, "n", F.inline(cells))
-    on = [counts[g].eqNullSafe(wanted[g]) for g in group]
-    j = counts.join(wanted, on, "inner") if group else counts.join(F.broadcast(wanted))
-    j = j.select(*(counts[g] for g in group), "name", "n", "at", "v", "c", "from", "to")
-    # what lies below is one sum; a step to either side keeps the linear neighbours
-    inside = (F.col("v") >= F.col("from")) & (F.col("v") <= F.col("to"))
-    side = F.when(inside, F.col("v")).when(F.col("v") < F.col("from"), F.lit(None))
-    near = j.where(F.col("v") <= F.col("to")).groupBy(*group, "name", "n", "at", side.alias("v")).agg(F.sum("c").alias("c"))
-    w = Window.partitionBy(*group, "name").orderBy(F.asc_nulls_first("v"))
-    near = near.withColumn("upto", F.sum("c").over(w)).where("v is not null")
-    if not linear:
-        hit = near.where(F.col("upto") > F.col("at")).groupBy(*group, "name", "n").agg(F.min("v").alias("x"))
-        return hit.select(*group, "name", "n", "x")
-    low = F.min(F.when(F.col("upto") > F.floor("at"), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v")))
-    hit = near.groupBy(*group, "name", "n", "at").agg(low.alias("a"), high.alias("z"))
-    return hit.select(*group, "name", "n", (F.col("a") + (F.coalesce("z", "a") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("x"))
+    placed = checkpoint(counts.repartitionByRange(*group, "v").withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy(*group, "part").agg(F.sum("c").alias("s"))
+    every = Window.partitionBy(*group)
+    before = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("part").alias("_p"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"), F.sum("s").over(every).alias("n"))
+    on = F.col("part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    t = placed.join(sums, on).select(*group, "part", "v", "c", "offset", "n")
+    w = Window.partitionBy(*group, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("upto", F.col("offset") + F.sum("c").over(w)).withColumn("from", F.col("upto") - F.col("c"))
+    n = F.col("n")
+    at = {k: (n - 1) * F.lit(p) if linear else F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0)) for k, p in ps.items()}
+    # the row that holds rank r has from <= r < upto
+    holds = lambda r: (F.col("from") <= r) & (r < F.col("upto"))
+    cells = F.array(*(F.struct(F.lit(k).alias("name"), a.cast("double").alias("at"), holds(F.floor(a)).alias("low"), holds(F.ceil(a)).alias("high")) for k, a in at.items()))
+    hit = t.select(*group, "n", "v", F.inline(F.filter(cells, lambda x: x["low"] | x["high"])))
+    g = hit.groupBy(*group, "name", "n", "at").agg(F.max(F.when(F.col("low"), F.col("v"))).alias("a"), F.max(F.when(F.col("high"), F.col("v"))).alias("z"))
+    return g.select(*group, "name", "n", (F.col("a") + (F.col("z") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("x"))
 
 
 def wide(quantiles: DataFrame, group: list[str], names: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 
-from colloquy.plans import extra, labels as queues, relational, series
+from colloquy.plans import extra, relational, series
 from colloquy.streaming import chunker
 
 SEGMENT = "case_id string, message_index int, segment_id string, role string, text string, start_s double, end_s double"
@@ -79,11 +79,13 @@ def test_questions_of_any_role_are_thinned(spark, tmp_path):
     assert sorted(got) == ["2", "5"] and got["2"]["shift"] < 0 < got["2"]["before"]
 
 
-def test_review_queue_takes_disagreement_and_rare_labels(spark, tmp_path):
-    votes = [(1, "x", "neutral"), (2, "X ", "commitment"), (3, "y", "neutral"), (4, "y", "neutral"), (5, "z", "odd"), (6, None, None), (7, None, None), (8, None, None), (9, "v", "commitment"), (10, "v", "commitment")]
-    spark.createDataFrame([(*v, 0.9) for v in votes], "weak_label_id long, chunk_id string, label string, confidence double").write.parquet(str(tmp_path / "weak_labels.parquet"))
-    got = [tuple(r) for r in queues.active_learning(spark, str(tmp_path)).orderBy("rank").collect()]
-    assert got == [(1, 3, 1), (2, 3, 2), (5, 2, 3)]
+def test_review_batch_takes_disagreement_and_rare_labels(spark):
+    from colloquy.operators import fusion as U
+
+    r = [("s1", "neutral", 0.9, ["model_vote_disagreement"]), ("s2", "neutral", 0.5, []), ("s3", "risk_friction", 0.9, []), ("s4", "neutral", 0.9, []), ("s5", "odd", None, [])]
+    df = spark.createDataFrame(r, "segment_id string, final_signal string, confidence double, flags array<string>")
+    got = [(x.segment_id, x.review_priority, x.review_reason) for x in U.review_batch(df, key="segment_id", limit=4).orderBy("rank").collect()]
+    assert got == [("s5", 5, "low_confidence;rare_label"), ("s1", 3, "model_disagreement"), ("s2", 3, "low_confidence"), ("s3", 3, "rare_label;high_value_signal")]
 
 
 def test_bootstrap_of_the_difference(spark, tmp_path):

@@ -56,7 +56,6 @@ def test_text_functions(spark):
     assert one(spark, T.words, None) == [] and one(spark, T.slug, "Q&A -- x!") == "q_a_x" and one(spark, T.slug, None) == "unknown"
     assert one(spark, T.normalize_lines, "a\r\n\r\n\r\n\tb  c ") == "a\n\n b c"
     assert one(spark, lambda c: T.excerpt(c, "needle"), "x" * 50 + " needle " + "y" * 100).startswith("...")
-    assert one(spark, T.redact, "mail a.b@c.org or +1 (555) 123-4567") == "mail [EMAIL] or [PHONE]"
 
 
 def test_series(spark):
@@ -103,9 +102,11 @@ def test_guidance(spark):
 
 def test_chunks(spark):
     text = " ".join(f"Sentence {i} ends here." for i in range(60))
-    spans = K.pack_sentences(text, 200, 20)
-    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(e - s <= 200 for s, e in spans) and all(b[0] == a[1] - 20 for a, b in zip(spans, spans[1:]))
-    assert K.pack_sentences("x" * 500, 200, 20)[-1][1] == 500 and K.pack_sentences(None, 9, 1) == [] and K.pack_sentences("", 9, 1) == []
+    spans = K.pack_sentences(text, 200, 20, 30)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(b[0] == a[1] - 20 for a, b in zip(spans, spans[1:]))
+    assert K.pack_sentences("x" * 500, 200, 20, 30) == [(0, 500)] and K.pack_sentences(None, 9, 1, 1) == [] and K.pack_sentences("", 9, 1, 1) == []
+    # a short tail is joined to the piece before it
+    assert K.pack_sentences("A" * 99 + ". B.", 100, 5, 20) == [(0, 103)]
     s = spark.createDataFrame([("k", i, float(10 * i), 10.0 * i + 9) for i in range(7)] + [("k", 9, None, 1.0)], "k string, ord int, start double, `end` double")
     assert rows(K.pack_time(s, key="k").select("start", "end", "n")) == [(0.0, 29.0, 3), (30.0, 59.0, 3), (60.0, 69.0, 1)]
     x = spark.createDataFrame([("intro Q&A rest",), ("nothing",)], "t string").select(K.marker_spans(F.col("t"), {"qa": "q&a"})).collect()
@@ -132,7 +133,66 @@ def test_validation_and_salted_join(spark):
     assert len(salted_join(big, small, ["k"]).collect()) == 51 and len(salted_join(big, small, ["k"], how="left").collect()) == 52
 
 
-def test_entry_survives_without_llm(spark, sf):
+def test_entry_survives_without_llm(spark, sf, monkeypatch):
+    import importlib
+    import sys
+
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() >= 0
+    for name in [m for m in sys.modules if m.startswith("colloquy.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    real = importlib.import_module
+
+    def absent(name, *a):
+        if name.startswith("colloquy.llm"):
+            raise ModuleNotFoundError(name, name="colloquy.llm")
+        return real(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", absent)
+    assert "p7_found" in e.queries() and "p1_found" not in e.queries()
+
+    def broken(name, *a):
+        if name.startswith("colloquy.llm"):
+            raise ModuleNotFoundError("x", name="zstandard")
+        return real(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()
+
+
+def test_hot_keys_get_salts(spark):
+    from colloquy.runtime import hot_keys
+
+    big = spark.range(40_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id)) k", "id n")
+    hot = hot_keys(big, ["k"]).collect()
+    assert [r.k for r in hot] == ["hot"] and hot[0]["_salts"] >= 8
+    small = big.select("k").distinct().selectExpr("k", "length(k) v")
+    j = salted_join(big, small, ["k"])
+    assert j.count() == 40_000 and j.where("v <> length(k)").count() == 0
+
+
+def test_as_of_in_blocks_equals_one_pass(spark):
+    rnd = random.Random(2)
+    left = spark.createDataFrame([(rnd.choice("hhhab"), rnd.randrange(1000), i) for i in range(300)], "k string, t int, id int")
+    right = spark.createDataFrame([(rnd.choice("hhhab"), rnd.randrange(1000), float(i)) for i in range(60)], "k string, t int, v double")
+    for forward in (False, True):
+        a = S.as_of(left, right, key="k", time="t", value="v", forward=forward)
+        b = S.as_of(left, right, key="k", time="t", value="v", forward=forward, block=F.floor(F.col("t") / 50))
+        assert rows(a) == rows(b)
+
+
+def test_exact_quantiles_of_a_hot_group(spark):
+    import numpy as np
+
+    from colloquy.operators.quantiles import exact_quantiles
+
+    rnd = np.random.default_rng(3)
+    v = np.round(rnd.exponential(1.0, 30_000), 3)
+    df = spark.createDataFrame([("hot" if i % 10 else f"g{i % 7}", float(x)) for i, x in enumerate(v)] + [("none", None)], "g string, v double")
+    got = {(r.g, r.name): r.x for r in exact_quantiles(df, ["g"], "v", {"p1": 0.01, "p50": 0.5, "p97": 0.97, "top": 1.0}, linear=True).collect()}
+    for g in ("hot", "g0"):
+        mine = [x for i, x in enumerate(v) if ("hot" if i % 10 else f"g{i % 7}") == g]
+        assert np.allclose([got[g, n] for n in ("p1", "p50", "p97", "top")], np.quantile(mine, [0.01, 0.5, 0.97, 1.0]))
+    assert not any(g == "none" for g, _ in got)

@@ -35,7 +35,8 @@ def test_prices_sinks_and_resume(spark, tmp_path):
 
 def test_pages_and_periods(spark):
     df = spark.createDataFrame([(1, "<nav>x</nav><p>A &amp; B</p><script>no</script><a class='l' href='/u'>go</a>"), (2, None)], "id int, html string")
-    assert [tuple(r) for r in R.page_links(df, page="id", html="html").collect()] == [(1, 0, "/u")]
+    df2 = df.withColumn("base", F.lit("https://h.example/x"))
+    assert [tuple(r) for r in R.page_links(df2, page="id", html="html", base="base").collect()] == [(1, 0, "https://h.example/u", "go")]
     assert [r[0] for r in df.select(R.page_text(F.col("html"))).collect()] == ["A & B go", ""]
     assert [r[0] for r in R.fiscal_periods(spark, "2024-05-06", 1).collect()] == ["2023_Q2", "2023_Q3", "2023_Q4", "2024_Q1", "2024_Q2"]
 
