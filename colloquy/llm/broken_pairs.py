@@ -234,7 +234,7 @@ class ContextCounter:
     def asked(self, ctx: str) -> bool:
         ok = self.known.get(ctx)
         if ok is None:
-            h = xxhash.xxh64_intdigest(ctx, seed=42) % FILTER_BITS
+            h = xxhash.xxh64_intdigest(ctx, seed=42) % (8 * len(self.bits))
             ok = bool(self.bits[h >> 3] >> (h & 7) & 1)
             if len(self.known) > 500_000:
                 self.known.clear()

@@ -142,7 +142,7 @@ def reliabilities(votes: DataFrame) -> DataFrame:
             break
     sign = vec.agg(F.signum(F.sum("r")).alias("sign"))
     vec = vec.join(F.broadcast(sign)).select("i", (F.col("r") * F.col("sign")).alias("r"))
-    return totals.join(vec, totals["annotator"] == vec["i"], "left").select("annotator", F.least("r", F.lit(1.0)).alias("reliability"), "n_votes")
+    return totals.join(vec, totals["annotator"] == vec["i"], "left").select("annotator", F.when(F.col("r").isNotNull(), F.least("r", F.lit(1.0))).alias("reliability"), "n_votes")
 
 
 def _weighed(votes: DataFrame, rel: DataFrame) -> DataFrame:
