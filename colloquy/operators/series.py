@@ -136,3 +136,26 @@ def window_means(anchors: DataFrame, chunks: DataFrame, *, key: str, before: flo
     out = anchors.withColumn("aid", F.col("aid").cast("string")).join(m, [key, "aid"], "left")
     fine = lambda c: F.round(F.round(c, 9), 6)  # noqa: E731  (sums differ in their last digits by order)
     return out.select(key, "aid", fine(F.col("before")).alias("before"), fine(F.col("after")).alias("after"), fine(F.col("after") - F.col("before")).alias("shift"))
+
+
+def pause_stats(frames: DataFrame, *, key: str, order: list[str], silent: Column, hop_ms: float, least_ms: float = 120.0, burst_ms: float = 450.0) -> DataFrame:
+    """(key, n_frames, silence_ratio, pause_count, burst_count, mean_ms, max_ms): runs of silent frames of at least ``least_ms``,
+    bursts of at least ``burst_ms``; 0 where there is none."""
+    r = runs(frames, key=key, order=order, state=silent)
+    one = r.groupBy(key, "run").agg(F.first("_state").alias("s"), F.count(F.lit(1)).alias("n"))
+    ms = F.when(F.col("s") & (F.col("n") * hop_ms >= least_ms), F.col("n") * F.lit(hop_ms))
+    g = one.groupBy(key).agg(
+        F.sum("n").alias("n_frames"), F.round(F.sum(F.when(F.col("s"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("silence_ratio"), F.count(ms).alias("pause_count"),
+        F.count_if(ms >= burst_ms).alias("burst_count"), F.round(F.coalesce(F.avg(ms), F.lit(0.0)), 4).alias("mean_ms"), F.round(F.coalesce(F.max(ms), F.lit(0.0)), 4).alias("max_ms"),
+    )
+    return g
+
+
+def leading_silence(frames: DataFrame, anchors: DataFrame, *, key: str, time: str, silent: Column, hop_ms: float, most_ms: float = 2000.0) -> DataFrame:
+    """anchors with silence_ms: how long the frames just before each were silent without a break, at most ``most_ms``."""
+    w = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    f = frames.withColumn("_i", F.count(F.lit(1)).over(w))
+    f = f.withColumn("_loud", F.max(F.when(~silent, F.col("_i"))).over(w))
+    f = f.select(key, time, (F.col("_i") - F.coalesce("_loud", F.lit(0))).cast("double").alias("quiet"))
+    out = as_of(anchors, f, key=key, time=time, value="quiet")
+    return out.withColumn("silence_ms", F.least(F.coalesce("as_of", F.lit(0.0)) * hop_ms, F.lit(most_ms))).drop("as_of")

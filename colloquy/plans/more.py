@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import classify as M
 from colloquy.operators import labels as O
 from colloquy.operators.quantiles import exact_quantiles
 from colloquy.plans import documents as D
@@ -19,9 +20,28 @@ QUERIES, SQL = query.queries, query.sql
 @query()
 def text_classifier_prf(spark, d):
     """Held-out figures of TF-IDF with logistic regression."""
-    from colloquy.operators.classify import holdout_predictions
+    p = M.holdout_predictions(SG.texts(spark, d), row_id="gold_label_id", text="text", label="truth")
+    return O.precision_recall(p, "truth", "predicted", LB.NAMES)
+
+
+@query()
+def text_classifier_variants(spark, d):
+    """Six variants and the majority on the same held-out rows, the best first."""
+    return M.compare_variants(SG.texts(spark, d), row_id="gold_label_id", text="text", label="truth")
+
 
-    p = holdout_predictions(SG.texts(spark, d), row_id="gold_label_id", text="text", label="truth")
+@query()
+def text_classifier_folds(spark, d):
+    """Five folds: every row predicted by the others' model."""
+    p = M.cross_validated(SG.texts(spark, d), row_id="gold_label_id", text="text", label="truth")
+    return O.precision_recall(p, "truth", "predicted", LB.NAMES)
+
+
+@query()
+def text_classifier_groups(spark, d):
+    """Five folds of calls: no call is on both sides."""
+    g = read_table(spark, d, "gold_labels").dropDuplicates(["gold_label_id"]).select("gold_label_id", norm_key(F.col("case_id")).alias("case_id"))
+    p = M.group_validated(SG.texts(spark, d).join(g, "gold_label_id"), row_id="gold_label_id", text="text", label="truth", group="case_id")
     return O.precision_recall(p, "truth", "predicted", LB.NAMES)
 
 

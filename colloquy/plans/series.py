@@ -200,3 +200,44 @@ def window_chunks(spark, d):
     g = t.groupBy("conv", "win").agg(F.max_by("end_s", F.when(F.col("end_s").isNotNull(), F.struct("start_s", "turn"))).alias("end_s"), F.count(F.lit(1)).alias("n_segments"), (F.sum("n") + F.count("n") - 1).alias("n_chars"))
     last = F.col("win") == F.max("win").over(Window.partitionBy("conv"))
     return g.withColumn("last", last).where("n_chars >= 40 or last and n_chars > 0").drop("last")
+
+
+@query("""with t as (select *, case when (value < 40) is not distinct from lag(value < 40) over w then 0 else 1 end nw from events window w as (partition by user_id order by ts, event_id)), r as (select *, sum(nw) over (partition by user_id order by ts, event_id) run from t),
+o as (select user_id, run, any_value(value < 40) s, count(*) n from r group by 1, 2), m as (select *, case when s and n * 100e0 >= 120 then n * 100e0 end ms from o)
+select user_id, cast(sum(n) as bigint) n_frames, round(sum(case when s then n else 0 end) / sum(n), 4) silence_ratio, count(ms) pause_count, count(*) filter (where ms >= 450) burst_count, round(coalesce(avg(ms), 0), 4) mean_ms, round(coalesce(max(ms), 0), 4) max_ms from m group by user_id""")
+def frame_pauses(spark, d):
+    """Events as frames of 100 ms, silent below a value of 40."""
+    return S.pause_stats(events(spark, d), key="user_id", order=["ts", "event_id"], silent=F.col("value") < 40, hop_ms=100.0)
+
+
+@query(f"""with {_P}, f as (select user_id, ts, max(value) < 40 s from events group by all), n as (select *, row_number() over w i, max(case when not s then rn end) over w loud from (select *, row_number() over (partition by user_id order by ts) rn from f) window w as (partition by user_id order by ts rows unbounded preceding)),
+k as (select user_id, ts, i - coalesce(loud, 0) quiet from n) select q.event_id, least(coalesce(k.quiet, 0) * 100e0, 2000) silence_ms from q asof left join k on q.user_id = k.user_id and q.ts >= k.ts""")
+def frame_leading_silence(spark, d):
+    """Silence up to each event of the last kind, itself a frame."""
+    f = events(spark, d).groupBy("user_id", "ts").agg(F.max("value").alias("v"))
+    q = _prices(spark, d)[1]
+    return S.leading_silence(f, q, key="user_id", time="ts", silent=F.col("v") < 40, hop_ms=100.0).select("event_id", "silence_ms")
+
+
+_WINDOWS = [("0h:1h", 0, 3600), ("0h:1d", 0, 86400), ("-1h:6h", -3600, 21600)]
+
+
+@query(f"""with {_P}, w(name, a, b) as (values {", ".join(map(str, _WINDOWS))}), x as (select q.event_id, q.user_id, w.name, q.ts + to_seconds(a) t0, q.ts + to_seconds(b) t1 from q, w),
+s as (select x.*, p.v v0 from x asof left join p on x.user_id = p.user_id and x.t0 <= p.ts), e as (select s.*, p.v v1 from s asof left join p on s.user_id = p.user_id and s.t1 <= p.ts),
+n as (select *, lead(v) over (partition by user_id order by ts) nv, from p), b as (select q.event_id, n.v v0, n.nv v1 from q asof left join n on q.user_id = n.user_id and q.ts >= n.ts), f as (select q.event_id, n.v w0, n.nv w1 from q asof left join n on q.user_id = n.user_id and q.ts <= n.ts),
+c as (select b.event_id, 'close:close' name, case when b.v0 is null then w0 else b.v0 end v0, case when b.v0 is null then w1 else b.v1 end v1 from b join f using (event_id))
+select event_id, name as window_name, round(case when v0 <> 0 then v1 / v0 - 1 end, 6) ret from (select event_id, name, v0, v1 from e union all select * from c) where v0 is not null and v1 is not null""")
+def event_window_returns(spark, d):
+    """Returns of every event over several windows: first price at or after both ends; close:close from the price at or before
+    (else at or after) to the next one."""
+    p, q = _prices(spark, d)
+    w = spark.createDataFrame(_WINDOWS, "name string, a int, b int")
+    at = lambda c: F.expr(f"timestampadd(SECOND, {c}, ts0)")
+    x = q.withColumnRenamed("ts", "ts0").join(F.broadcast(w)).withColumn("ts", at("a"))
+    s = S.as_of(x, p, key="user_id", time="ts", value="v", forward=True, block=_DAY()).withColumnRenamed("as_of", "v0").withColumn("ts", at("b"))
+    e = S.as_of(s, p, key="user_id", time="ts", value="v", forward=True, block=_DAY()).select("event_id", F.col("name").alias("window_name"), "v0", F.col("as_of").alias("v1"))
+    n = p.withColumn("n", F.struct("v", F.lead("v").over(Window.partitionBy("user_id").orderBy("ts")).alias("nv"))).drop("v")
+    c = S.as_of(q, n, key="user_id", time="ts", value="n", block=_DAY()).withColumnRenamed("as_of", "b")
+    c = S.as_of(c, n, key="user_id", time="ts", value="n", forward=True, block=_DAY()).withColumn("k", F.coalesce("b", "as_of"))
+    e = e.unionByName(c.select("event_id", F.lit("close:close").alias("window_name"), F.col("k.v").alias("v0"), F.col("k.nv").alias("v1")))
+    return e.where("v0 is not null and v1 is not null").select("event_id", "window_name", F.round(F.expr("case when v0 <> 0 then v1 / v0 - 1 end"), 6).alias("ret"))
