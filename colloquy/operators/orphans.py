@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.runtime import norm_key, shuffle_partitions
+from colloquy.runtime import checkpoint, norm_key, shuffle_partitions
 
+#: Keys and references of a range, about.
+RANGE_KEYS = 250_000
 ORPHAN_SCHEMA = "from_table string, ref_key string, ref_month string, orphan_kind string, n_refs long"
 
 
@@ -100,7 +102,10 @@ def orphan_references(refs: DataFrame, parent: DataFrame) -> DataFrame:
     counts the references of the key in the month.
     """
     spark = refs.sparkSession
-    bits = max(4, (4 * shuffle_partitions(spark) - 1).bit_length())
+    refs, parent = checkpoint(refs), checkpoint(parent)
+    # a range is one task's: as many as its keys ask for, and some for each task
+    ranges = max(4 * shuffle_partitions(spark), -(-(refs.count() + parent.count()) // RANGE_KEYS))
+    bits = max(4, (ranges - 1).bit_length())
     none = F.lit(int(np.iinfo(np.int64).min))
     us = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), none)
     h = F.xxhash64("k")

@@ -65,7 +65,7 @@ def review_queue_stratified(spark, d):
     return U.ranked(t.select("chunk_id", "bucket", "turn"), [F.col("turn"), F.col("bucket")], 60).drop("turn")
 
 
-@query(f"with {_QUEUE}, l as (select unnest(string_split(suggested, ';')) as label from q), n as (select count(*) n from q) select label, count(*) items, any_value(n.n) total_items, round(any_value(n.n) * 45 / 60, 2) as minutes from l, n group by label")
+@query(f"with {_QUEUE}, l as (select unnest(string_split(suggested, ';')) as label from q), tot as (select count(*) n from q) select label, count(*) items, any_value(tot.n) total_items, round(any_value(tot.n) * 45 / 60, 2) as minutes from l, tot group by label")
 def review_workload(spark, d):
     q = _queue(spark, d)
     n = q.agg(F.count(F.lit(1)).alias("total_items"))
