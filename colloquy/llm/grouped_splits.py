@@ -140,9 +140,10 @@ def assign_splits(
 def split_shares(split: DataFrame) -> DataFrame:
     """(split, n_rows, n_groups, share, label_deviation): what assign_splits() reached. label_deviation
     is the largest difference between a label's share in the split and in all rows."""
-    per = split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = checkpoint(split.groupBy("split", "label", "group").agg(F.count(F.lit(1)).alias("n")))
+    per = cells.groupBy("split", "label").agg(F.sum("n").alias("n"))
     every = per.groupBy("label").agg(F.sum("n").alias("label_n"))
-    groups = split.select("split", "group").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"))
+    groups = cells.select("split", "group").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"))
     sizes = per.groupBy("split").agg(F.sum("n").alias("n_rows")).join(groups, "split")
     all_rows = sizes.agg(F.sum("n_rows").alias("total"))
     s = sizes.join(F.broadcast(all_rows))

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.runtime import salted_join
+
 #: Soft hyphen and zero-width characters, dropped before words are read.
 INVISIBLE = {0x00AD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None}
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -176,7 +178,10 @@ def _probe_join(corpus, items, doc_id, item_id, span, k):
     print_of = lambda df, i, kind: df.mapInArrow(_print_batches(i, span, k), f"`{i}` {kind}, h long, pos int")
     mine = print_of(corpus, doc_id, kinds[0][doc_id])
     theirs = print_of(items, item_id, kinds[1][item_id]).withColumnRenamed("pos", "item_pos")
-    hits = mine.join(theirs, "h").groupBy(doc_id, item_id).agg(F.collect_set(F.struct("pos", "item_pos")).alias("hits"))
+    both = salted_join(mine, theirs, ["h"])  # a common print may hold a large part of all
+    # one hit of a diagonal for each k words: hits nearer than k lie in the same run
+    near = both.groupBy(doc_id, item_id, (F.col("pos") - F.col("item_pos")).alias("d"), F.floor(F.col("pos") / k)).agg(F.min("pos").alias("pos"))
+    hits = near.groupBy(doc_id, item_id).agg(F.collect_list(F.struct("pos", (F.col("pos") - F.col("d")).alias("item_pos"))).alias("hits"))
     d, q = corpus.columns[1], items.columns[1]
     full = hits.join(corpus.withColumnRenamed(d, "_text"), doc_id).join(items.withColumnRenamed(q, "_item"), item_id)
 

@@ -36,13 +36,14 @@ class Text:
 
     def __init__(self, text: str, a: Automaton):
         self.text, self.a = text, a
-        self.at, self.tokens, self.exact = [0], [0], 0
+        self.at, self.tokens, self.exact, self.plain = [0], [0], 0, True
         for m in SPLIT.finditer(text):
             n = len(a.encode_piece(m.group()))
             self.exact += n
             if n <= LONG_WORD:
                 self._unit(m.end(), n)
             else:
+                self.plain = False
                 for i in range(m.start(), m.end(), RUN):
                     end = min(i + RUN, m.end())
                     self._unit(end, len(a.encode_piece(text[i:end])))
@@ -58,6 +59,12 @@ class Text:
         return self.levels
 
     def count(self, start: int, end: int) -> int:
+        """Tokens of text[start:end] by itself. Between unit ends only the last two units may split otherwise there than in
+        the whole text (a run of white space is at most two), so the rest is looked up."""
+        if self.plain:
+            i, j = bisect_left(self.at, start), bisect_left(self.at, end)
+            if j - i > 2 and self.at[i] == start and j < len(self.at) and self.at[j] == end:
+                return self.tokens[j - 2] - self.tokens[i] + len(self.a.encode(self.text[self.at[j - 2] : end]))
         return len(self.a.encode(self.text[start:end]))
 
     def before(self, offset: int) -> int:

@@ -33,6 +33,8 @@ TOKENIZERS = os.environ.get("COLLOQUY_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps, and the longest such word in bytes; beyond that the memory is emptied.
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Arcs whose answers a worker keeps; beyond that they are forgotten.
+KNOWN_ARCS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -78,6 +80,8 @@ class Automaton:
         """Whether token b may follow token a once all merges are done."""
         key = a << 20 | b
         if (ok := self.known.get(key)) is None:
+            if len(self.known) >= KNOWN_ARCS:
+                self.known.clear()
             ok = self.known[key] = self._arc(a, b, 1 << 40)
         return ok
 
