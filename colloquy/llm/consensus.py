@@ -145,6 +145,19 @@ def reliabilities(votes: DataFrame) -> DataFrame:
     return totals.join(vec, totals["annotator"] == vec["i"], "left").select("annotator", F.when(F.col("r").isNotNull(), F.least("r", F.lit(1.0))).alias("reliability"), "n_votes")
 
 
+#: Rows of a table of annotators and labels that are sent to the tasks; more are joined.
+SENT_ROWS = 200_000
+
+
+def _with_table(big: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with a table of annotators and labels: few rows (counted) go to the tasks, more are joined with hot keys dealt
+    out; the same rows either way."""
+    table = checkpoint(table)
+    if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return big.join(F.broadcast(table), keys)
+    return salted_join(big, table, keys)
+
+
 def _weighed(votes: DataFrame, rel: DataFrame) -> DataFrame:
     """votes with r, the bounded reliability of the annotator, and p, the frequency of the label."""
     r = F.least(F.greatest(F.coalesce("reliability", F.lit(UNKNOWN)), F.lit(BOUNDS[0])), F.lit(BOUNDS[1]))
@@ -152,7 +165,7 @@ def _weighed(votes: DataFrame, rel: DataFrame) -> DataFrame:
     freq = used.groupBy("label").agg(F.sum("n").alias("n"))
     freq = freq.join(F.broadcast(freq.agg(F.sum("n").alias("all")))).select("label", (F.col("n") / F.col("all")).alias("p"))
     used = used.drop("n").join(rel.select("annotator", r.alias("r")), "annotator").join(freq, "label")
-    return salted_join(votes, used, ["annotator", "label"])
+    return _with_table(votes, used, ["annotator", "label"])
 
 
 def _decide(per: DataFrame, min_annotators: int) -> DataFrame:
@@ -189,7 +202,7 @@ def habit_consensus(votes: DataFrame, rel: DataFrame, *, min_annotators: int = 3
     those for which these are commonly given), with the chance that its annotator gives this
     label for that one, and counts the habits anew by how likely each label is. Ties and empty tables as there.
     """
-    votes = checkpoint(_weighed(votes.select("item", "annotator", "label").distinct(), rel))
+    votes = checkpoint(_weighed(votes.select("item", "annotator", "label").distinct(), rel).repartition("item"))
     freq = votes.groupBy(F.col("label").alias("truth")).agg(F.log(F.first("p")).alias("prior"))
     voted = votes.groupBy("item", F.col("label").alias("truth")).agg(F.count(F.lit(1)).alias("n"))
     cell, item, each = ["annotator", "label", "truth"], Window.partitionBy("item"), Window.partitionBy("item", "truth")
@@ -197,7 +210,7 @@ def habit_consensus(votes: DataFrame, rel: DataFrame, *, min_annotators: int = 3
     def readings(candidates: DataFrame) -> DataFrame:
         """Every vote under every candidate of its item, with its chance by the one reliability."""
         base = (1 - F.col("r")) * F.col("p") + F.when(F.col("label") == F.col("truth"), F.col("r")).otherwise(0.0)
-        read = votes.join(candidates, "item").join(freq, "truth")
+        read = _with_table(votes.join(candidates, "item"), freq, ["truth"])
         return read.select("item", "annotator", "label", "truth", "n", "prior", base.alias("q"))
 
     def cells(logs: DataFrame) -> DataFrame:
@@ -212,11 +225,11 @@ def habit_consensus(votes: DataFrame, rel: DataFrame, *, min_annotators: int = 3
     taken = cells(first_logs(readings(voted))).groupBy("label", "truth").agg(F.sum("c").alias("c"))
     taken = taken.withColumn("all", F.sum("c").over(Window.partitionBy("label"))).where(F.col("c") >= COMMON * F.col("all"))
     implied = voted.withColumnRenamed("truth", "label").join(taken.select("label", "truth"), "label").select("item", "truth", F.lit(0).cast("long").alias("n"))
-    read = checkpoint(readings(voted.unionByName(implied).groupBy("item", "truth").agg(F.max("n").alias("n"))))
+    read = checkpoint(readings(voted.unionByName(implied).groupBy("item", "truth").agg(F.max("n").alias("n"))).repartition("item"))
     logs = first_logs(read)
     for _ in range(REFINEMENTS):
         seen = cells(logs).withColumn("all", F.sum("c").over(Window.partitionBy("annotator", "truth")))
         habit = seen.select(*cell, F.log(F.greatest((F.col("c") + SMOOTHING * F.col("q")) / (F.col("all") + SMOOTHING), F.lit(1e-6))).alias("l"))
-        logs = read.join(habit, cell)
+        logs = _with_table(read, habit, cell)
     scores = logs.groupBy("item", "truth").agg((F.sum("l") + F.first("prior")).alias("s"), F.first("n").alias("n"))
     return _decide(scores.withColumnRenamed("truth", "label"), min_annotators)
