@@ -160,7 +160,7 @@ def conversation_features(turns: DataFrame, prompt: str, response: str) -> DataF
         F.when(F.col("prompt_negative") > 0.2, "customer_frustration"), F.when(F.col("deflection") > 0.3, "agent_deflection"),
         F.when(F.col("directness") < 0.4, "low_directness"), F.when((F.col("n_responses") >= 2) & (F.col("consistency") < 0.5), "inconsistent_messaging"),
     ))
-    return j.withColumns({"score": F.round(T.clamp01(score), 4), "flags": F.array_join(flags, ",")})
+    return j.withColumns({"score": F.round(F.round(T.clamp01(score), 9), 4), "flags": F.array_join(flags, ",")})
 
 
 def participants_of(turns: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ cc as (select conv, round(least(1, avg(cosine) * 2.5), 4) consistency from cosin
 rr as (select conv, count(*) n_responses from merged where role = 'executive' group by conv),
 ff as (select r.*, coalesce(n_responses, 0) n_responses, coalesce(directness, 0) directness, coalesce(deflection, 0) deflection, coalesce(n_pairs, 0) n_pairs, coalesce(consistency, 1) consistency
   from ratios r left join dd using (conv) left join cc using (conv) left join rr using (conv))
-select *, round(least(1, greatest(0, 0.3e0 * directness + 0.2e0 * (1 - deflection) + 0.15e0 * consistency + 0.1e0 * (1 - negative) + 0.1e0 * positive + 0.1e0 * (1 - hedging)
-    + 0.05e0 * greatest(0, least(1, 1 - abs(0.5e0 - verbosity) * 2)))), 4) score,
+select *, {X.exact('''least(1, greatest(0, 0.3e0 * directness + 0.2e0 * (1 - deflection) + 0.15e0 * consistency + 0.1e0 * (1 - negative) + 0.1e0 * positive + 0.1e0 * (1 - hedging)
+    + 0.05e0 * greatest(0, least(1, 1 - abs(0.5e0 - verbosity) * 2))))''')} score,
   array_to_string(list_filter([case when prompt_negative > 0.2 then 'customer_frustration' end, case when deflection > 0.3 then 'agent_deflection' end,
     case when directness < 0.4 then 'low_directness' end, case when n_responses >= 2 and consistency < 0.5 then 'inconsistent_messaging' end], lambda x: x is not null), ',') flags from ff""")
 def conv_qa_score(spark, d):
@@ -239,13 +239,13 @@ def segment_risk(spark, d):
 
 @query(f"""with {TURNS}, {SCORED}, w as (select *, avg(signed) over w m, stddev_pop(signed) over w s from scored where start_s is not null window w as (partition by conv order by start_s, turn rows 4 preceding)),
 z as (select *, round(case when s > 1e-9 then (signed - m) / s else 0 end, 4) z from w), t as (select conv, count(*) n_rows, count(*) filter (where abs(z) >= 1.5) n_changes from z group by conv)
-select conv, count(*) n_scored, round(avg(signed), 6) sentiment_mean, round(coalesce(stddev_pop(signed), 0), 6) sentiment_std, any_value(coalesce(n_rows, 0)) tone_rows, any_value(coalesce(n_changes, 0)) tone_changes from scored left join t using (conv) group by conv""")
+select conv, count(*) n_scored, {X.exact('avg(signed)', 6)} sentiment_mean, {X.exact('coalesce(stddev_pop(signed), 0)', 6)} sentiment_std, any_value(coalesce(n_rows, 0)) tone_rows, any_value(coalesce(n_changes, 0)) tone_changes from scored left join t using (conv) group by conv""")
 def conv_metrics(spark, d):
     """Count, mean and deviation of the tone of each call, and its changes."""
     t = scored(spark, d)
     z = S.tone_changes(t.where("start_s is not null"), key="conv", order=["start_s", "turn"], value="signed", threshold=1.5)
     z = z.groupBy("conv").agg(F.count(F.lit(1)).alias("tone_rows"), F.count_if("is_change").alias("tone_changes"))
-    g = t.groupBy("conv").agg(F.count(F.lit(1)).alias("n_scored"), F.round(F.avg("signed"), 6).alias("sentiment_mean"), F.round(F.coalesce(F.stddev_pop("signed"), F.lit(0.0)), 6).alias("sentiment_std"))
+    g = t.groupBy("conv").agg(F.count(F.lit(1)).alias("n_scored"), (F.round(F.round(F.avg("signed"), 9), 6) + 0.0).alias("sentiment_mean"), F.round(F.round(F.coalesce(F.stddev_pop("signed"), F.lit(0.0)), 9), 6).alias("sentiment_std"))
     return g.join(z, "conv", "left").fillna(0, ["tone_rows", "tone_changes"])
 
 
