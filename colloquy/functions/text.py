@@ -185,6 +185,23 @@ def excerpt(c: Column, term: str, width: int = 160) -> Column:
     return F.when(at > 0, cut).otherwise(F.substring(t, 1, width))
 
 
+def preview(c: Column, width: int = 96) -> Column:
+    """The first ``width`` characters of a text with white space normalised, with dots where there are more."""
+    t = normalize_space(c)
+    return F.concat(F.substring(t, 1, width), F.when(F.length(t) > width, "...").otherwise(""))
+
+
+def gated_preview(c: Column, allowed: Column, width: int = 160) -> Column:
+    """The first characters of a text where that is allowed, else a note."""
+    return F.when(F.coalesce(allowed, F.lit(False)), F.substring(F.coalesce(c, F.lit("")), 1, width)).otherwise("[redacted: raw text commit not allowed]")
+
+
+def row_hash(*columns: str) -> Column:
+    """sha256: and the digest of the columns as compact JSON, keys in order, nulls kept."""
+    body = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("sha256:"), F.sha2(body, 256))
+
+
 def hash_bucket(token: Column, dimensions: int) -> Column:
     """Feature-hashing bucket of a token: first four bytes of its SHA-256, big-endian."""
     return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dimensions

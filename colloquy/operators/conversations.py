@@ -163,6 +163,14 @@ def conversation_features(turns: DataFrame, prompt: str, response: str) -> DataF
     return j.withColumns({"score": F.round(F.round(T.clamp01(score), 9), 4), "flags": F.array_join(flags, ",")})
 
 
+def group_turns(turns: DataFrame, domain: str, side: str) -> DataFrame:
+    """Turns of the prompting or responding roles of a domain; an unknown domain raises."""
+    if domain not in L.DOMAIN_ROLES:
+        raise ValueError(f"unknown domain {domain}; known are {', '.join(L.DOMAIN_ROLES)}")
+    prompt, response = L.DOMAIN_ROLES[domain]
+    return turns.where(F.col("role").isin(prompt if side == "prompt" else response))
+
+
 def participants_of(turns: DataFrame) -> DataFrame:
     """Distinct roles of a conversation in the order in which they first speak."""
     first = spoken(turns).groupBy("conv", "role").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_turns"))

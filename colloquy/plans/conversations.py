@@ -289,3 +289,13 @@ s as (select conv, case when response is null then 0 else least(1, greatest(0, 0
   + 0.1e0 * greatest(0, 1 - 0.3e0 * {X.count_phrases('low', _HEDGE)}) - 0.35e0 * {X.any_phrase('low', _HOLD)}::int)) end s from o) select conv, round(avg(s), 4) directness from s group by conv""")
 def conv_pair_directness(spark, d):
     return C.pair_directness(C.pair_transparent(turns(spark, d), "analyst", "executive"), _CUES, _HOLD, _HEDGE)
+
+
+@query(f"""with {TURNS}, n as (select conv, role, len({_TOK.format('text')}) n from spoken), g as (select conv, sum(n) filter (where role in {tuple(L.DOMAIN_ROLES['earnings_call'][1] * 2)}) i, sum(n) total from n group by conv)
+select conv, cast(coalesce(i, 0) as bigint) internal_tokens, round(coalesce(i, 0) / nullif(total, 0), 4) internal_share from g""")
+def conv_internal_share(spark, d):
+    """The share of the answering side of earnings calls in all tokens."""
+    t = C.spoken(turns(spark, d)).withColumn("n", F.size(T.tokens(F.col("text"))))
+    mine = C.group_turns(t, "earnings_call", "response").groupBy("conv").agg(F.sum("n").alias("i"))
+    g = t.groupBy("conv").agg(F.sum("n").alias("total")).join(mine, "conv", "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    return g.select("conv", F.col("i").alias("internal_tokens"), F.round(F.expr("i / nullif(total, 0)"), 4).alias("internal_share"))

@@ -52,6 +52,15 @@ def doc_hashes(spark, d):
     )
 
 
+@query(r"""with n as (select *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') t from documents)
+select doc_id, left(t, 96) || case when length(t) > 96 then '...' else '' end preview, case when coalesce(lang = 'en', false) then left(coalesce(text, ''), 160) else '[redacted: raw text commit not allowed]' end gated,
+  'sha256:' || sha256(cast(to_json({'doc_id': doc_id, 'fiscal_year': fiscal_year, 'source': source}) as varchar)) row_hash from n""")
+def doc_previews(spark, d):
+    """Previews of texts, in full only where the language is plainly English, and hashes of rows."""
+    t = docs(spark, d)
+    return t.select("doc_id", T.preview(F.col("text")).alias("preview"), T.gated_preview(F.col("text"), F.col("lang") == "en").alias("gated"), T.row_hash("source", "doc_id", "fiscal_year").alias("row_hash"))
+
+
 @query(r"""with n as (select doc_id, list_transform(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: try_cast(replace(x, ',', '') as double)) ns,
   regexp_extract(lower(text), 'between\s+(-?[0-9]+(?:\.[0-9]+)?)\s+and\s+(-?[0-9]+(?:\.[0-9]+)?)', ['a', 'b']) btw,
   regexp_extract(lower(text), '(-?[0-9]+(?:\.[0-9]+)?)\s*(?:to|–|-)\s*(-?[0-9]+(?:\.[0-9]+)?)', ['a', 'b']) ran from documents where text is not null)
