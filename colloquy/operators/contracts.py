@@ -26,7 +26,7 @@ CLAIM_ERRORS = {
     "NO_CAUSAL_CLAIM": ["causal", "causes"], "NO_SIGNIFICANCE_CLAIM": ["statistical significance", "statistically significant"], "NO_TRADING_CLAIM": ["alpha", "buy", "sell", "trading"],
 }
 DISCLAIMERS = ["NOT_ENOUGH_DATA", "EXPLORATORY_ONLY", "NO_SIGNIFICANCE_CLAIM", "NO_CAUSAL_CLAIM", "NO_TRADING_CLAIM"]
-TRANSCRIPT_LIKE = [r"\b(?:operator|management|analyst|speaker|executive|ir)\s*:", r"\b(?:raw transcript|transcript|chunk|payload)\s+text\s+(?:excerpt|snippet|payload|content)", r"\bretrieval payload\b"]
+TRANSCRIPT_LIKE = [r"\b(operator|management|analyst|speaker|executive|ir)\s*:", r"\b(raw transcript|transcript|chunk|payload)\s+text\s+(excerpt|snippet|payload|content)", r"\bretrieval payload\b"]
 RAW_FIELDS = ["evidence_text", "raw_text", "text", "snippet", "quote", "final_evidence_text"]
 
 

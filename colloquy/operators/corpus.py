@@ -12,9 +12,9 @@ from colloquy.operators.transcripts import with_offsets
 
 #: Lines that are dropped, what opens questions and answers, and markers of calls.
 DROPPED_LINES = [r"^\s*advertisement\s*$", r"^\s*related articles\s*$", r"^\s*recommended stories\s*$", r"^\s*read more\s*$", r"^\s*copyright .* rights reserved\s*$"]
-QA_LINE = r"^\s*(?:question-and-answer|questions and answers|questions & answers|q&a|q and a|question and answer|question & answer)\b"
+QA_LINE = r"^\s*(question-and-answer|questions and answers|questions & answers|q&a|q and a|question and answer|question & answer)\b"
 QA_TRANSITION = (
-    r"(?:open (?:the )?(?:call )?(?:up )?(?:for|to) questions|open for questions|operator,? (?:please )?(?:poll for|open|may we have|get|could we get) (?:the )?(?:first |next )?question"
+    r"(open (?:the )?(?:call )?(?:up )?(?:for|to) questions|open for questions|operator,? (?:please )?(?:poll for|open|may we have|get|could we get) (?:the )?(?:first |next )?question"
     r"|(?:head over|move on) to (?:investor|analyst) questions|(?:first|next) (?:analyst )?question (?:is|comes|will be|from)|we will now (?:be )?(?:taking|take) (?:a )?question)"
 )
 OPERATOR_LINE = r"^\s*operator\s*$"
@@ -26,11 +26,11 @@ ANALYST_NAMES = ["analyst", "securities", "capital", "bank", "morgan", "goldman"
 EXECUTIVE_NAMES = ["ceo", "cfo", "president", "chief", "officer", "founder", "chair"]
 #: Guidance of a sentence (direction, rule, pattern), in order; metrics in order.
 GUIDANCE = [
-    ("up", "raised_guidance", r"\b(?:raise|raises|raised|raising|increase|increased|increasing)\b.{0,80}\b(?:guidance|outlook|forecast|revenue|eps)\b"),
-    ("up", "guidance_raised_reverse", r"\b(?:guidance|outlook|forecast|revenue|eps)\b.{0,80}\b(?:raise|raised|higher|above|up from|increase|increased)\b"),
-    ("down", "lowered_guidance", r"\b(?:lower|lowered|lowering|reduce|reduced|cut|down)\b.{0,80}\b(?:guidance|outlook|forecast|revenue|eps)\b"),
-    ("down", "guidance_lowered_reverse", r"\b(?:guidance|outlook|forecast|revenue|eps)\b.{0,80}\b(?:lower|lowered|reduced|cut|down)\b"),
-    ("unchanged", "reaffirmed_guidance", r"\b(?:reaffirm|reaffirmed|maintain|maintained|reiterate|reiterated)\b.{0,80}\b(?:guidance|outlook|forecast)\b"),
+    ("up", "raised_guidance", r"\b(raise|raises|raised|raising|increase|increased|increasing)\b.{0,80}\b(guidance|outlook|forecast|revenue|eps)\b"),
+    ("up", "guidance_raised_reverse", r"\b(guidance|outlook|forecast|revenue|eps)\b.{0,80}\b(raise|raised|higher|above|up from|increase|increased)\b"),
+    ("down", "lowered_guidance", r"\b(lower|lowered|lowering|reduce|reduced|cut|down)\b.{0,80}\b(guidance|outlook|forecast|revenue|eps)\b"),
+    ("down", "guidance_lowered_reverse", r"\b(guidance|outlook|forecast|revenue|eps)\b.{0,80}\b(lower|lowered|reduced|cut|down)\b"),
+    ("unchanged", "reaffirmed_guidance", r"\b(reaffirm|reaffirmed|maintain|maintained|reiterate|reiterated)\b.{0,80}\b(guidance|outlook|forecast)\b"),
 ]
 METRICS = ["revenue", "eps", "margin", "operating income", "capex", "free cash flow", "guidance", "outlook"]
 COMMITMENT = [r"\bcommitted to\b", r"\bwe will continue\b", r"\bwe remain confident\b", r"\bwell positioned\b", r"\bon track\b"]

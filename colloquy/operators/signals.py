@@ -141,7 +141,7 @@ def historical_only(c: Column) -> Column:
 
 
 def period_present(c: Column) -> Column:
-    return F.lower(F.coalesce(c, F.lit(""))).rlike(r"\b(?:20[0-9]{2}|fy\s?[0-9]{2,4}|q[1-4]|quarter|year|annual|full year)\b")
+    return F.lower(F.coalesce(c, F.lit(""))).rlike(r"\b(20\d{2}|fy\s?\d{2,4}|q[1-4]|quarter|year|annual|full year)\b")
 
 
 def likely_boilerplate(c: Column) -> Column:

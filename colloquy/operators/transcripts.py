@@ -13,18 +13,18 @@ from colloquy.operators import signals as S
 
 #: What begins a section, in order; letter case doesn't matter.
 SECTION_MARKERS = [
-    ("safe_harbor", r"\b(?:safe harbor|forward[- ]looking statements?|non[- ]gaap)\b"),
-    ("operator", r"\b(?:operator instructions|conference operator|call operator)\b"),
-    ("prepared_remarks", r"\b(?:prepared remarks|presentation|management remarks|business update)\b"),
-    ("qna", r"\b(?:question[- ]and[- ]answer|questions and answers|q&a)\b"),
-    ("closing", r"\b(?:closing remarks|this concludes|thank you for joining)\b"),
+    ("safe_harbor", r"\b(safe harbor|forward[- ]looking statements?|non[- ]gaap)\b"),
+    ("operator", r"\b(operator instructions|conference operator|call operator)\b"),
+    ("prepared_remarks", r"\b(prepared remarks|presentation|management remarks|business update)\b"),
+    ("qna", r"\b(question[- ]and[- ]answer|questions and answers|q&a)\b"),
+    ("closing", r"\b(closing remarks|this concludes|thank you for joining)\b"),
 ]
 #: A speaker's line, and hints on roles, in order.
 SPEAKER = r"[A-Z][A-Za-z0-9 .,&'/-]{1,80}"
 ROLE_HINTS = [
-    ("operator", r"\b(?:operator|conference coordinator)\b"), ("investor_relations", r"\b(?:investor relations|ir)\b"),
-    ("analyst", r"\b(?:analyst|questioner|research|securities|capital markets|bank|j\.?p\.? morgan|goldman|morgan stanley)\b"),
-    ("management", r"\b(?:ceo|cfo|president|chief|management|officer|chair|treasurer|controller|executive)\b"),
+    ("operator", r"\b(operator|conference coordinator)\b"), ("investor_relations", r"\b(investor relations|ir)\b"),
+    ("analyst", r"\b(analyst|questioner|research|securities|capital markets|bank|j\.?p\.? morgan|goldman|morgan stanley)\b"),
+    ("management", r"\b(ceo|cfo|president|chief|management|officer|chair|treasurer|controller|executive)\b"),
 ]
 #: Chunk types that are evidence.
 EVIDENCE_TYPES = ["qa_pair", "prepared_remarks", "guidance_statement", "guidance_revision_candidate"]
