@@ -128,9 +128,13 @@ def evidence_spans(spark, d):
     """Where the first sentence of each label's evidence stands in the documents of its ticker."""
     lab = read_table(spark, d, "labels").distinct().where("evidence_text is not null and ticker is not null")
     lab = lab.select("label_row_id", F.upper(F.trim("ticker")).alias("ticker"), F.regexp_extract("evidence_text", r"^([^.!?]+[.!?])", 1).alias("q"), F.col("event_date").alias("day"))
-    doc = docs(spark, d).where("text is not null and ticker is not null").select("doc_id", F.upper(F.trim("ticker")).alias("ticker"), "text", "fiscal_year")
-    j = lab.join(doc, (lab["ticker"] == doc["ticker"]) & F.col("day").contains(F.col("fiscal_year").cast("string"))).select("label_row_id", "doc_id", E.quote_span(F.col("text"), F.col("q")).alias("s"))
-    return j.select("label_row_id", "doc_id", "s.status", "s.start", "s.end")
+    doc = docs(spark, d).where("text is not null and ticker is not null").select("doc_id", F.upper(F.trim("ticker")).alias("ticker"), "text", F.col("fiscal_year").cast("string").alias("year"))
+    # the years that a day names, found once for each day of a ticker
+    years = lab.select("ticker", "day").distinct().join(doc.select("ticker", "year").distinct(), "ticker").where(F.col("day").contains(F.col("year")))
+    key = F.struct("ticker", "year").alias("key")
+    quotes = lab.join(years, ["ticker", "day"]).select(key, F.col("label_row_id").alias("quote_id"), F.col("q").alias("quote"))
+    j = E.quote_spans(quotes, doc.select(key, F.col("doc_id").alias("text_id"), "text"))
+    return j.select(F.col("quote_id").alias("label_row_id"), F.col("text_id").alias("doc_id"), "status", "start", "end")
 
 
 @query(f"""with recursive {TURNS.lstrip()}, o as (select conv, start_s s, end_s e, row_number() over (partition by conv order by turn) r from turns where start_s is not null and end_s is not null),
