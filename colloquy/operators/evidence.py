@@ -21,9 +21,9 @@ _TOKENS = re.compile(r"[a-z0-9]+")
 LIKENESS_CHARS = 1200
 #: Likeness from which a window is nearly the quotation.
 LEAST = 0.72
-#: Quotations and texts of one key that a task holds at once, pairs that are compared at once (and from which small
-#: keys are no longer put together), and characters from which they are not.
-QUOTES, TEXTS, PAIRS, BUNDLE_CHARS = 1024, 256, 50_000, 2_000_000
+#: Quotations and texts of one key that a task holds at once, pairs that are compared at once, and pairs and
+#: characters from which small keys are no longer put together.
+QUOTES, TEXTS, PAIRS, BUNDLE_PAIRS, BUNDLE_CHARS = 1024, 256, 8192, 50_000, 2_000_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -194,43 +194,45 @@ def _common(quotes: _Quotes, texts: _Texts, q: np.ndarray, w: np.ndarray) -> np.
 
     The blocks that SequenceMatcher matches are one, so this is a bound for them."""
     out = np.zeros(len(q), np.int64)
-    order = np.lexsort((texts.n[w], quotes.blocks[q]))
-    edges = np.flatnonzero(np.diff(quotes.blocks[q][order])) + 1
-    for part in np.split(order, edges):
+    # by quotation within windows of about one length, so that little of the tables is looked up at a time
+    order = np.lexsort((q, texts.n[w] // 16, quotes.blocks[q]))
+    for part in np.split(order, np.flatnonzero(np.diff(quotes.blocks[q][order])) + 1):
         blocks = int(quotes.blocks[q[part[0]]]) if len(part) else 0
-        for k in range(0, len(part), 8192):
-            at = part[k : k + 8192]
+        for k in range(0, len(part), 4096):
+            at = part[k : k + 4096]
             base, win = q[at] * 128, w[at]
+            i, u, s = np.empty(len(at), np.int64), np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
             rows = np.full((blocks, len(at)), ~np.uint64(0))
             for j in range(int(texts.n[win].max())):
-                i = base + texts.codes[j].take(win)
+                np.add(base, texts.codes[j].take(win), out=i)
                 carry = None
                 for b in range(blocks):
                     v = rows[b]
-                    u = v & quotes.at[b].take(i)
-                    s = v + u
-                    if b + 1 < blocks:
-                        over = s < v
+                    # indices are within bounds; this mode needs no buffer
+                    quotes.at[b].take(i, out=u, mode="clip")
+                    u &= v
+                    np.add(v, u, out=s)
+                    over = s < v if b + 1 < blocks else None
                     if carry is not None:
                         s += carry
-                        if b + 1 < blocks:
+                        if over is not None:
                             over |= s < carry
-                    np.bitwise_or(s, v - u, out=v)
-                    if b + 1 < blocks:
-                        carry = over.astype(np.uint64)
+                    carry = over
+                    v -= u
+                    v |= s
             out[at] = 64 * blocks - np.bitwise_count(rows).sum(0, dtype=np.int64)
     return out
 
 
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start in a, start in b, size) of the longest common run of each column, the first in a, then in b. Fewer than 255 rows."""
-    run, size = np.zeros(b.shape, np.uint8), np.zeros(b.shape[1], np.uint8)
+    run, after, size = np.zeros(b.shape, np.uint8), np.ones(b.shape, np.uint8), np.zeros(b.shape[1], np.uint8)
     at_a, at_b = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
     for i in range(len(a)):
-        same = b == a[i]
-        run[1:] = run[:-1] + np.uint8(1)
-        run[0] = 1
-        run *= same
+        np.add(run[:-1], np.uint8(1), out=after[1:])
+        after[0] = 1
+        after *= (b == a[i]).view(np.uint8)
+        run, after = after, run
         top = run.max(0)
         if len(up := np.flatnonzero(top > size)):
             size[up] = top[up]
@@ -263,8 +265,8 @@ def likenesses(a: list[str], b: list[str]) -> np.ndarray:
         while todo.shape[1]:
             todo = todo[:, np.lexsort((todo[4] - todo[3], todo[2] - todo[1]))]
             more = []
-            for k in range(0, todo.shape[1], 2048):
-                i, a0, a1, b0, b1 = todo[:, k : k + 2048]
+            for k in range(0, todo.shape[1], 1024):
+                i, a0, a1, b0, b1 = todo[:, k : k + 1024]
                 sides = []
                 for m, lo, hi in ((rows[0], a0, a1), (rows[1], b0, b1)):
                     at = lo + np.arange(int((hi - lo).max()))[:, None]
@@ -316,7 +318,7 @@ def nearly_all(quotes: _Quotes, texts: _Texts, q: np.ndarray, d: np.ndarray) ->
     p = some[of]
     for bound in (
         lambda x, y: np.minimum(quotes.n[x], texts.n[y]),
-        lambda x, y: np.minimum(quotes.classes[x], texts.classes[y]).sum(1, dtype=np.int64),
+        lambda x, y: np.minimum(quotes.classes[x], texts.classes[y]) .sum(1, dtype=np.int16),
         lambda x, y: _common(quotes, texts, x, y),
     ):
         # a likeness as high as the share of words counts where its window comes first
@@ -352,7 +354,7 @@ def find_quotes(groups: list[tuple[list[str | None], list[str | None]]]) -> Iter
             if x:
                 ts.setdefault(x, len(ts))
     all_q, all_t = list(qs), list(ts)
-    forms, patterns = [folded(x) for x in all_q], [spaced(x) for x in all_q]
+    forms = [folded(x) for x in all_q]
     made = _Quotes(all_q)
     read = _Texts(all_t, made)
     flat = [folded(x) for x in all_t]
@@ -372,7 +374,7 @@ def find_quotes(groups: list[tuple[list[str | None], list[str | None]]]) -> Iter
                 text = all_t[here[k]]
                 if (a := text.find(all_q[x])) >= 0:
                     status[i, k], start[i, k], end[i, k] = 1, a, a + len(all_q[x])
-                elif m := patterns[x].search(text):
+                elif m := spaced(all_q[x]).search(text):
                     status[i, k], start[i, k], end[i, k] = 2, m.start(), m.end()
                 at = joined.find(forms[x], int(begins[k + 1]))
         qi, di = np.nonzero(status == STATUSES.index("not_found"))
@@ -414,7 +416,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if groups and not all(groups[-1]):
                     groups.pop()
                 pairs += len(groups[-1][0]) * len(groups[-1][1]) if groups else 0
-                if pairs > PAIRS or chars > BUNDLE_CHARS:
+                if pairs > BUNDLE_PAIRS or chars > BUNDLE_CHARS:
                     yield from flush(groups)
                     groups, pairs, chars = [], 0, 0
                 key = k
